@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.checks.tables import flows, places, sql
+from tallyflow.checks.tables import (
+    codes,
+    customer_facilities,
+    flows,
+    places,
+    sql,
+    supplier_facilities,
+)
 from tallyflow.functions.calendar import day_text
-from tallyflow.plans.flows import count_flows, map_flows, pair_counts
+from tallyflow.plans.flows import count_flows, country_pair_counts, map_flows, pair_counts
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +56,47 @@ def by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_flows(mapped(spark, sf_dir), "origin", "year_month")
 
 
+def direct(
+    spark: SparkSession,
+    sf_dir: str,
+    flow_table: DataFrame,
+    direction: str = "origin",
+    granular: str = "year_month",
+    countries: list[str] | None = None,
+    gaps: bool = False,
+) -> DataFrame:
+    return country_pair_counts(
+        flow_table,
+        supplier_facilities(spark, sf_dir, gaps),
+        codes(spark, sf_dir),
+        direction,
+        granular,
+        countries,
+        destination_facilities=customer_facilities(spark, sf_dir),
+    )
+
+
+def by_month_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return direct(spark, sf_dir, flows(spark, sf_dir))
+
+
 def pairs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same result, with flows of a pair counted before the lookups."""
-    pairs = pair_counts(flows(spark, sf_dir))
-    return count_flows(map_flows(pairs, *places(spark, sf_dir)), "origin", "year_month")
+    return direct(spark, sf_dir, pair_counts(flows(spark, sf_dir)))
+
+
+def direct_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into two countries by day, from flows and facilities with gaps."""
+    counts = direct(
+        spark,
+        sf_dir,
+        flows(spark, sf_dir, gaps=True),
+        "destination",
+        "day",
+        ["NATION_4", "NATION_9"],
+        gaps=True,
+    )
+    return counts.withColumn("day", day_text(F.col("day")))
 
 
 def spread_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +120,9 @@ QUERIES = {
     "facility_lookup_left": known_ends,
     "code_to_name_lookup": named_ends,
     "flow_counts_daily": by_day,
-    "flow_counts_monthly": by_month,
+    "flow_counts_monthly": by_month_direct,
+    "flow_counts_monthly_mapped": by_month,
+    "flow_counts_with_gaps": direct_with_gaps,
     "flow_counts_pairs_first": pairs_first,
     "flow_counts_spread_lookup": spread_lookup,
     "flow_counts_by_origin": from_countries,
@@ -104,6 +150,14 @@ SQL = {
     ),
     "flow_counts_daily": sql(DAILY.format(where="")),
     "flow_counts_monthly": sql("SELECT * FROM flow_counts"),
+    "flow_counts_monthly_mapped": sql("SELECT * FROM flow_counts"),
+    "flow_counts_with_gaps": sql(
+        """SELECT strftime(day, '%Y-%m-%d') AS day, origin_country, origin_country_code,
+        destination_country, destination_country_code, count(*) AS flight_count
+        FROM gap_mapped WHERE origin_country_code <> destination_country_code
+        AND day IS NOT NULL AND destination_country IN ('NATION_4', 'NATION_9')
+        GROUP BY 1, 2, 3, 4, 5"""
+    ),
     "flow_counts_pairs_first": sql("SELECT * FROM flow_counts"),
     "flow_counts_spread_lookup": sql("SELECT * FROM flow_counts"),
     "flow_counts_by_origin": sql(

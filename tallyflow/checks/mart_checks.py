@@ -25,6 +25,7 @@ from tallyflow.functions.text import all_digits, monthly_name, slug, title_label
 from tallyflow.operators.reshape import long_days, long_stats, stat_rows, union_by_name
 from tallyflow.operators.rollups import (
     area_month_series,
+    area_months,
     correlation,
     default_range,
     month_domain,
@@ -40,7 +41,7 @@ from tallyflow.plans.marts import (
     pair_flows,
     series_marts,
 )
-from tallyflow.plans.snapshots import area_month_table
+from tallyflow.plans.snapshots import area_day_table, area_month_table
 from tallyflow.plans.views import map_views, stat_correlation, time_series
 from tallyflow.session import stage_path
 from tallyflow.sources.readers import read_partitioned, read_wide_series
@@ -73,6 +74,28 @@ def flow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled(df: DataFrame, column: str) -> DataFrame:
+    """Marks each row with its batch, so that one pass serves both batches."""
+    second = F.col(column) >= F.lit(SECOND_BATCH)
+    return df.withColumn("batch", F.when(second, "second").otherwise("first"))
+
+
+def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = area_day_table(reports(spark, sf_dir), RETAIL)
+    return area_months(labelled(days, "date"), RETAIL, extra=["batch"])
+
+
+def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = map_flows(flows(spark, sf_dir), *places(spark, sf_dir))
+    return count_flows(
+        labelled(mapped, "day"), "destination", "year_month", extra=["batch"]
+    )
+
+
+def recombined_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_flows(flow_batches(spark, sf_dir))
+
+
 def recombined_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["year_month", "area"]
     return recombined(case_batches(spark, sf_dir), keys, RETAIL.cumulative)
@@ -84,11 +107,11 @@ def recombined_cases_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly_cases(case_batches(spark, sf_dir), RETAIL)
+    return monthly_cases(case_rows(spark, sf_dir), RETAIL)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_flows(flow_batches(spark, sf_dir))
+    return pair_flows(flow_rows(spark, sf_dir))
 
 
 def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +348,8 @@ QUERIES = {
     "batch_union_recombine": recombined_cases,
     "batch_union_recombine_max": recombined_cases_max,
     "month_over_month": cases,
-    "flow_recombine": pairs,
+    "flow_recombine": recombined_flows,
+    "flow_recombine_one_pass": pairs,
     "flow_destination_rollup": ends,
     "stats_flow_join": joined,
     "stats_flow_join_one_area": joined_focus,
@@ -396,6 +420,11 @@ SQL = {
         destination_country_code, origin_country, origin_country_code, flight_count
         FROM flow_counts"""
     ),
+    "flow_recombine_one_pass": sql(
+        """SELECT year_month AS month, destination_country AS end_country,
+        destination_country_code, origin_country, origin_country_code, flight_count
+        FROM flow_counts"""
+    ),
     "flow_destination_rollup": sql(f"SELECT * FROM {ARRIVALS}"),
     "stats_flow_join": sql(f"SELECT * FROM {JOINED}"),
     "stats_flow_join_one_area": sql(f"SELECT * FROM {JOINED} WHERE country = '{FOCUS}'"),

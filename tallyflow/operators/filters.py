@@ -19,6 +19,17 @@ def among(df: DataFrame, column: str, values: Iterable[str] | None) -> DataFrame
     return df.filter(named(column).isin(chosen)) if chosen else df
 
 
+def with_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with a value in each column.
+
+    Plain ``IS NOT NULL`` conditions, which Catalyst pushes to the scan and
+    uses to turn an outer join into an inner one; ``dropna`` has neither.
+    """
+    for column in columns:
+        df = df.filter(named(column).isNotNull())
+    return df
+
+
 def day_in_years(df: DataFrame, column: str, spec: SnapshotSpec) -> Column:
     """True for a known day in the valid years, else false and never NULL."""
     inside = within_years(df, column, spec.first_year, spec.last_year)

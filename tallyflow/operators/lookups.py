@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.columns import named
+from tallyflow.operators.filters import with_values
 
 
 def unique_by(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -15,15 +16,13 @@ def unique_by(df: DataFrame, key: str, value: str) -> DataFrame:
 
     The smallest value wins, which does not depend on row order.
     """
-    return (
-        df.dropna(subset=[key]).groupBy(named(key)).agg(F.min(named(value)).alias(value))
-    )
+    return with_values(df, [key]).groupBy(named(key)).agg(F.min(named(value)).alias(value))
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return (
-        df.dropna(subset=[key])
+        with_values(df, [key])
         .groupBy(named(key))
         .agg(F.count("*").alias("rows"))
         .filter(F.col("rows") > 1)
@@ -77,6 +76,6 @@ def attach(
 
 def unmatched(names: DataFrame, name: str, known: DataFrame, known_name: str) -> DataFrame:
     """Distinct names that the other table does not know."""
-    left = names.select(named(name)).dropna().distinct()
+    left = with_values(names.select(named(name)), [name]).distinct()
     right = known.select(named(known_name).alias("_known")).distinct()
     return left.join(right, left[name] == right["_known"], "left_anti")

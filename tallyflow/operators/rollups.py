@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions.calendar import month_text, utc_day
 from tallyflow.functions.columns import named
 from tallyflow.functions.stats import pearson
-from tallyflow.operators.filters import months_between, require_one_of
+from tallyflow.operators.filters import months_between, require_one_of, with_values
 from tallyflow.schemas import REJECTED, SnapshotSpec
 
 ROWS = "report_rows"
@@ -51,11 +51,13 @@ def area_months(
     day: str = "date",
     month: str = "year_month",
     closing: str = "max",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Country-month table from the country-day table.
 
     ``closing`` is the cumulative value of a month: its ``max``, or its
-    ``last`` value by day for series that may fall.
+    ``last`` value by day for series that may fall. ``extra`` columns, such as
+    the batch of a day, join the key.
     """
     require_one_of("closing", closing, ["max", "last"])
 
@@ -65,7 +67,7 @@ def area_months(
 
     return (
         days.withColumn(month, month_text(named(day)))
-        .groupBy(month, spec.area)
+        .groupBy(month, spec.area, *extra)
         .agg(
             *[close(c).alias(c) for c in spec.cumulative],
             *[F.sum(named(d)).alias(m) for d, m in zip(spec.daily_new, spec.monthly_new)],
@@ -90,7 +92,7 @@ def recombined(
     require_one_of("combine", combine, ["sum", "max"])
     merge = F.sum if combine == "sum" else F.max
     return (
-        df.dropna(subset=list(keys))
+        with_values(df, keys)
         .groupBy(*keys)
         .agg(*[F.coalesce(merge(named(v)), F.lit(0)).alias(v) for v in values])
     )
@@ -100,8 +102,7 @@ def total_in_range(
     df: DataFrame, by: str, value: str, start: str, end: str, month: str = "month"
 ) -> DataFrame:
     return (
-        months_between(df, start, end, month)
-        .dropna(subset=[by])
+        with_values(months_between(df, start, end, month), [by])
         .groupBy(by)
         .agg(F.coalesce(F.sum(named(value)), F.lit(0)).alias(value))
     )
@@ -111,8 +112,7 @@ def peak_in_range(
     df: DataFrame, by: str, value: str, start: str, end: str, month: str = "month"
 ) -> DataFrame:
     return (
-        months_between(df, start, end, month)
-        .dropna(subset=[by])
+        with_values(months_between(df, start, end, month), [by])
         .groupBy(by)
         .agg(F.max(named(value)).alias(value))
     )
@@ -120,7 +120,7 @@ def peak_in_range(
 
 def largest_total(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     """One row: the largest of the sums per group."""
-    totals = df.dropna(subset=[by]).groupBy(by).agg(F.sum(named(value)).alias("total"))
+    totals = with_values(df, [by]).groupBy(by).agg(F.sum(named(value)).alias("total"))
     return totals.agg(F.max("total").alias(name))
 
 

@@ -12,7 +12,7 @@ from tallyflow.operators.filters import among
 from tallyflow.operators.lookups import place_table
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals, area_months
-from tallyflow.plans.flows import count_flows, flow_order, map_flows, pair_counts
+from tallyflow.plans.flows import country_pair_counts, flow_order, map_flows, pair_counts
 from tallyflow.plans.quality_report import flow_report, snapshot_report
 from tallyflow.plans.snapshots import days_from_totals
 from tallyflow.schemas import AREA_ALIASES, SnapshotSpec
@@ -82,11 +82,12 @@ def run_batch(
         )
 
     facilities = readers.read_facilities(spark, inputs.facilities)
-    places = place_table(facilities, readers.read_codes(spark, inputs.codes))
+    codes = readers.read_codes(spark, inputs.codes)
     pairs = staged(pair_counts(readers.read_flows(spark, inputs.flows, period)), "pairs")
-    mapped = map_flows(pairs, places, keep_incomplete=True)
-    counts = count_flows(
-        mapped.dropna(subset=["day", "origin_country", "destination_country"]),
+    counts = country_pair_counts(
+        pairs,
+        facilities,
+        codes,
         "destination",
         "year_month",
         [AREA_ALIASES.get(a, a) for a in chosen],
@@ -99,6 +100,7 @@ def run_batch(
         sort=flow_order("destination", "year_month"),
     )
 
+    mapped = map_flows(pairs, place_table(facilities, codes), keep_incomplete=True)
     lines = union_by_name([snapshot_report(totals, spec), flow_report(mapped, facilities)])
     write_batch(lines, paths["quality"], batch=batch, areas=label)
     return paths

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.calendar import month_text, utc_day
 from tallyflow.functions.columns import named
-from tallyflow.operators.filters import among, require_one_of
-from tallyflow.operators.lookups import attach
+from tallyflow.operators.filters import among, require_one_of, with_values
+from tallyflow.operators.lookups import attach, unique_by
 
 DIRECTIONS = ("origin", "destination")
 PERIODS = ("day", "year_month")
 WEIGHT = "flights"
+COMPLETE = ("day", "origin_country", "destination_country")
 
 
 def pair_counts(flows: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def map_flows(
     mapped = mapped.drop(*DIRECTIONS).withColumn("year_month", month_text(F.col("day")))
     if keep_incomplete:
         return mapped
-    return mapped.dropna(subset=["day", "origin_country", "destination_country"])
+    return with_values(mapped, COMPLETE)
 
 
 def count_flows(
@@ -68,10 +69,12 @@ def count_flows(
     direction: str = "origin",
     granular: str = "day",
     countries: Iterable[str] | None = None,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """International flows per period and pair of countries.
+    """International flows per period and pair of countries, from mapped flows.
 
-    ``countries`` restricts the end named by ``direction``.
+    ``countries`` restricts the end named by ``direction``; ``extra`` columns
+    join the key.
     """
     require_one_of("direction", direction, DIRECTIONS)
     require_one_of("granular", granular, PERIODS)
@@ -85,9 +88,70 @@ def count_flows(
         "origin_country_code",
         "destination_country",
         "destination_country_code",
+        *extra,
     ).agg(count.alias("flight_count"))
 
 
+def country_pair_counts(
+    flows: DataFrame,
+    facilities: DataFrame,
+    codes: DataFrame,
+    direction: str = "origin",
+    granular: str = "day",
+    countries: Iterable[str] | None = None,
+    destination_facilities: DataFrame | None = None,
+) -> DataFrame:
+    """The result of :func:`count_flows` straight from raw flows or pair counts.
+
+    The plan for large inputs. Facilities are first cut down to those in a
+    known, and where asked for chosen, country, so the two lookups are inner
+    joins that drop all other flows early, those without a facility before any
+    shuffle. Flows are grouped by date and code; names and the text of the
+    month are added to the small result.
+    """
+    require_one_of("direction", direction, DIRECTIONS)
+    require_one_of("granular", granular, PERIODS)
+    known = unique_by(codes, "country_code", "country")
+    day = utc_day(flows, "day")
+    period = F.trunc(day, "month") if granular == "year_month" else day
+    weight = [WEIGHT] if WEIGHT in flows.columns else []
+    coded = flows.select(period.alias("period"), *DIRECTIONS, *weight).filter(
+        F.col("period").isNotNull()
+    )
+    names = {}
+    for end in DIRECTIONS:
+        names[end] = among(known, "country", countries if end == direction else None).filter(
+            F.col("country").isNotNull()
+        )
+        table = facilities
+        if end == "destination" and destination_facilities is not None:
+            table = destination_facilities
+        placed = (
+            unique_by(table, "icao", "country")
+            .withColumnsRenamed({"icao": end, "country": "country_code"})
+            .join(names[end].select("country_code"), "country_code", "left_semi")
+            .withColumnRenamed("country_code", f"{end}_country_code")
+        )
+        coded = coded.join(placed, end).drop(end)
+    counts = (
+        coded.filter(F.col("origin_country_code") != F.col("destination_country_code"))
+        .groupBy("period", "origin_country_code", "destination_country_code")
+        .agg((F.sum(WEIGHT) if weight else F.count("*")).alias("flight_count"))
+    )
+    for end in DIRECTIONS:
+        labels = {"country_code": f"{end}_country_code", "country": f"{end}_country"}
+        counts = counts.join(names[end].withColumnsRenamed(labels), f"{end}_country_code")
+    shown = month_text(F.col("period")) if granular == "year_month" else F.col("period")
+    return counts.select(
+        shown.alias(granular),
+        "origin_country",
+        "origin_country_code",
+        "destination_country",
+        "destination_country_code",
+        "flight_count",
+    )
+
+
 def flow_order(direction: str, granular: str) -> list[str]:
     """Sort columns of a flow result: the chosen end, the other end, time."""
     require_one_of("direction", direction, DIRECTIONS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions.columns import named
 from tallyflow.functions.text import title_label
 from tallyflow.operators.filters import months_between, require_one_of
-from tallyflow.operators.reshape import stat_rows
+from tallyflow.operators.reshape import stat_rows, union_by_name
 from tallyflow.operators.rollups import (
     correlation,
     largest_total,
@@ -54,8 +54,8 @@ def map_views(pairs: DataFrame, cases_long: DataFrame, start: str, end: str) ->
     return {
         "flows": total_in_range(pairs, "origin_country", "flight_count", start, end),
         "peaks": peak_in_range(peaks, "country", "value", start, end),
-        # One row each, so this pairs two single rows.
-        "scales": flow_scale.withColumn("one", F.lit(1))
-        .join(case_scale.withColumn("one", F.lit(1)), "one")
-        .drop("one"),
+        # One row of each, folded into one row.
+        "scales": union_by_name([flow_scale, case_scale]).agg(
+            F.max("max_flights").alias("max_flights"), F.max("max_cases").alias("max_cases")
+        ),
     }
