@@ -119,16 +119,16 @@ def scan_profile(rows: DataFrame) -> DataFrame:
     )
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names in the first line of a CSV file; reads no data rows."""
-    return spark.read.option("header", True).csv(path).columns
-
-
 def read_text_columns(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Columns of a CSV file as text, found by header name."""
-    rows = spark.read.option("header", True).csv(path)
+    """Columns of CSV files as text, found by header name.
+
+    The names come from one file. The others must have the same header, which
+    ``enforceSchema`` checks as each is opened: a file with another order of
+    columns ends the query instead of being misread.
+    """
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     return rows.select(*[named(c) for c in columns]) if columns else rows
 
 
