@@ -42,7 +42,13 @@ from tallyflow.plans.marts import (
     series_marts,
 )
 from tallyflow.plans.snapshots import area_day_table, area_month_table
-from tallyflow.plans.views import map_views, stat_correlation, time_series
+from tallyflow.plans.views import (
+    country_peaks,
+    map_scales,
+    origin_flows,
+    stat_correlation,
+    time_series,
+)
 from tallyflow.session import stage_path
 from tallyflow.sources.readers import read_partitioned, read_wide_series
 from tallyflow.sources.sinks import RESULT_PARTITIONS, write_csv
@@ -199,8 +205,16 @@ def series_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def views(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return map_views(pairs(spark, sf_dir), long_cases(spark, sf_dir), START, END)[name]
+def flows_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin_flows(pairs(spark, sf_dir), START, END)
+
+
+def peaks_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return country_peaks(long_cases(spark, sf_dir), START, END)
+
+
+def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_scales(pairs(spark, sf_dir), long_cases(spark, sf_dir))
 
 
 def focus_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,9 +374,9 @@ QUERIES = {
     "month_grouper_sum": month_sums,
     "month_grouper_max": month_peaks,
     "time_series_range": series_in_range,
-    "map_flows_range": lambda spark, sf_dir: views(spark, sf_dir, "flows"),
-    "map_peak_range": lambda spark, sf_dir: views(spark, sf_dir, "peaks"),
-    "map_scale_bounds": lambda spark, sf_dir: views(spark, sf_dir, "scales"),
+    "map_flows_range": flows_in_range,
+    "map_peak_range": peaks_in_range,
+    "map_scale_bounds": scales,
     "stat_flow_corr": focus_correlation,
     "stat_flow_corr_by_area": area_correlation,
     "month_domain": months,

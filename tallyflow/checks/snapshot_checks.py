@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyflow.checks.tables import (
     RETAIL,
-    customer_facilities,
     codes,
+    customer_facilities,
     dated_orders,
     flows,
     places,
@@ -33,8 +33,8 @@ from tallyflow.operators.rollups import area_day_totals
 from tallyflow.plans.flows import map_flows, pair_counts
 from tallyflow.plans.quality_report import flow_report, snapshot_report, unmatched_names
 from tallyflow.plans.snapshots import area_day_table, area_month_table
+from tallyflow.session import stage_path, staged
 from tallyflow.streaming.running_counts import daily_counts, keep_updated, latest_counts
-from tallyflow.session import stage_path
 
 NATIONS = ["NATION_1", "NATION_5", "NATION_24"]
 ALIASES = {"NATION_1": "First Nation", "NATION_24": "Last Nation"}
@@ -99,7 +99,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of the report, for the reports and for flows with gaps."""
-    totals = area_day_totals(reports(spark, sf_dir), RETAIL)
+    totals = staged(area_day_totals(reports(spark, sf_dir), RETAIL), "totals")
     facilities = union_by_name(
         [supplier_facilities(spark, sf_dir), customer_facilities(spark, sf_dir)]
     )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.operators.lookups import place_table
 from tallyflow.schemas import SnapshotSpec
@@ -17,8 +19,15 @@ RETAIL = SnapshotSpec(
 )
 
 
+@lru_cache(maxsize=None)
+def known_schema(path: str) -> T.StructType:
+    """Schema of a table, read from its footer once per process."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(known_schema(path)).parquet(path)
 
 
 def quantity(condition: Column | None = None) -> Column:
@@ -26,6 +35,16 @@ def quantity(condition: Column | None = None) -> Column:
     return value if condition is None else F.when(condition, value)
 
 
+def with_order(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Line items with their order, always by sort merge.
+
+    Both sides grow with the data. Below the broadcast limit Spark would
+    otherwise collect one of them, and it takes the line items for the smaller
+    side once the orders carry a lookup of unknown size.
+    """
+    return lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per line item; two of the four measures have gaps.
 
@@ -49,9 +68,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         quantity(F.col("l_returnflag") == "R").alias("Recovered"),
         quantity(F.col("l_linestatus") == "O").alias("Active"),
     )
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop(
-        "l_orderkey", "o_orderkey"
-    )
+    return with_order(lines, orders).drop("l_orderkey", "o_orderkey")
 
 
 def flows(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
@@ -66,9 +83,7 @@ def flows(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("destination")
     )
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "day", "origin", "destination"
-    )
+    return with_order(lines, orders).select("day", "origin", "destination")
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:

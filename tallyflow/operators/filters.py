@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +27,7 @@ def with_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     Plain ``IS NOT NULL`` conditions, which Catalyst pushes to the scan and
     uses to turn an outer join into an inner one; ``dropna`` has neither.
     """
-    for column in columns:
-        df = df.filter(named(column).isNotNull())
-    return df
+    return df.filter(reduce(and_, [named(c).isNotNull() for c in columns]))
 
 
 def day_in_years(df: DataFrame, column: str, spec: SnapshotSpec) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tallyflow.functions.text import areas_label
 from tallyflow.operators.filters import among
@@ -16,7 +16,7 @@ from tallyflow.plans.flows import country_pair_counts, flow_order, map_flows, pa
 from tallyflow.plans.quality_report import flow_report, snapshot_report
 from tallyflow.plans.snapshots import days_from_totals
 from tallyflow.schemas import AREA_ALIASES, SnapshotSpec
-from tallyflow.session import stage_path
+from tallyflow.session import staged
 from tallyflow.sources import readers
 from tallyflow.sources.batches import period_parts
 from tallyflow.sources.sinks import write_batch
@@ -32,18 +32,6 @@ class BatchInputs:
     codes: str
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes a small table to the shared folder and reads it back.
-
-    What follows starts from the written table: the raw files are scanned
-    once, and a lost executor costs no second scan.
-    """
-    spark = df.sparkSession
-    path = stage_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def run_batch(
     spark: SparkSession,
     inputs: BatchInputs,

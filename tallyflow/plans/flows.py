@@ -82,7 +82,10 @@ def count_flows(
         F.col("origin_country_code") != F.col("destination_country_code")
     )
     count = F.sum(named(WEIGHT)) if WEIGHT in mapped.columns else F.count("*")
-    return abroad.groupBy(
+    if granular == "year_month":
+        # A date is cheaper to group by than the text, which is made at the end.
+        abroad = abroad.withColumn(granular, F.trunc("day", "month"))
+    counts = abroad.groupBy(
         granular,
         "origin_country",
         "origin_country_code",
@@ -90,6 +93,9 @@ def count_flows(
         "destination_country_code",
         *extra,
     ).agg(count.alias("flight_count"))
+    if granular == "year_month":
+        counts = counts.withColumn(granular, month_text(named(granular)))
+    return counts
 
 
 def country_pair_counts(

@@ -43,19 +43,32 @@ def stat_correlation(
     return r.withColumn("shown", F.round("r", 2))
 
 
-def map_views(pairs: DataFrame, cases_long: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
-    """Flows per origin, peak of new cases per country, and fixed scales.
+def origin_flows(pairs: DataFrame, start: str, end: str) -> DataFrame:
+    """Flows per origin country in the range."""
+    return total_in_range(pairs, "origin_country", "flight_count", start, end)
+
+
+def country_peaks(cases_long: DataFrame, start: str, end: str) -> DataFrame:
+    """Largest number of new cases in a month of the range, per country."""
+    return peak_in_range(stat_rows(cases_long, PEAK_STAT), "country", "value", start, end)
+
+
+def map_scales(pairs: DataFrame, cases_long: DataFrame) -> DataFrame:
+    """One row: the largest flow total and the largest peak over all months.
 
-    The scales cover all months, so they stay the same as the range moves.
+    They cover all months, so they stay the same as the range moves.
     """
-    peaks = stat_rows(cases_long, PEAK_STAT)
     flow_scale = largest_total(pairs, "origin_country", "flight_count", "max_flights")
-    case_scale = largest_value(peaks, "value", "max_cases")
+    case_scale = largest_value(stat_rows(cases_long, PEAK_STAT), "value", "max_cases")
+    return union_by_name([flow_scale, case_scale]).agg(
+        F.max("max_flights").alias("max_flights"), F.max("max_cases").alias("max_cases")
+    )
+
+
+def map_views(pairs: DataFrame, cases_long: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
+    """Everything a pair of maps shows for a range."""
     return {
-        "flows": total_in_range(pairs, "origin_country", "flight_count", start, end),
-        "peaks": peak_in_range(peaks, "country", "value", start, end),
-        # One row of each, folded into one row.
-        "scales": union_by_name([flow_scale, case_scale]).agg(
-            F.max("max_flights").alias("max_flights"), F.max("max_cases").alias("max_cases")
-        ),
+        "flows": origin_flows(pairs, start, end),
+        "peaks": country_peaks(cases_long, start, end),
+        "scales": map_scales(pairs, cases_long),
     }
