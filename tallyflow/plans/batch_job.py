@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from tallyflow.functions.text import areas_label
-from tallyflow.operators.filters import among
+from tallyflow.operators.filters import among, with_values
 from tallyflow.operators.lookups import place_table
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals, area_months
-from tallyflow.plans.flows import country_pair_counts, flow_order, map_flows, pair_counts
+from tallyflow.plans.flows import COMPLETE, count_flows, flow_order, map_flows, month_totals
 from tallyflow.plans.quality_report import flow_report, snapshot_report
 from tallyflow.plans.snapshots import days_from_totals
 from tallyflow.schemas import AREA_ALIASES, SnapshotSpec
@@ -43,8 +43,8 @@ def run_batch(
     """Runs a batch and returns the path of each dataset written.
 
     Each family of raw files is read once, down to a table bounded by days
-    and areas, or days and pairs of facilities. Results and quality lines come
-    from those. ``cases`` always holds all areas, and the chosen ones in a
+    and areas, or months and pairs of countries. Results and quality lines
+    come from those. ``cases`` always holds all areas, and the chosen ones in a
     partition of their own; ``flows`` counts flows into the chosen areas.
     """
     period_parts(period)
@@ -71,11 +71,11 @@ def run_batch(
 
     facilities = readers.read_facilities(spark, inputs.facilities)
     codes = readers.read_codes(spark, inputs.codes)
-    pairs = staged(pair_counts(readers.read_flows(spark, inputs.flows, period)), "pairs")
-    counts = country_pair_counts(
-        pairs,
-        facilities,
-        codes,
+    flows = readers.read_flows(spark, inputs.flows, period)
+    mapped = map_flows(flows, place_table(facilities, codes), keep_incomplete=True)
+    flow_totals = staged(month_totals(mapped), "flows")
+    counts = count_flows(
+        with_values(flow_totals, COMPLETE),
         "destination",
         "year_month",
         [AREA_ALIASES.get(a, a) for a in chosen],
@@ -88,7 +88,6 @@ def run_batch(
         sort=flow_order("destination", "year_month"),
     )
 
-    mapped = map_flows(pairs, place_table(facilities, codes), keep_incomplete=True)
-    lines = union_by_name([snapshot_report(totals, spec), flow_report(mapped, facilities)])
+    lines = union_by_name([snapshot_report(totals, spec), flow_report(flow_totals, facilities)])
     write_batch(lines, paths["quality"], batch=batch, areas=label)
     return paths

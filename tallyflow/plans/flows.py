@@ -21,8 +21,9 @@ COMPLETE = ("day", "origin_country", "destination_country")
 def pair_counts(flows: DataFrame) -> DataFrame:
     """Flows per day and pair of facilities.
 
-    Most flows repeat a pair of the same day, so this partial aggregate takes
-    the bulk and the skew of a busy facility away before any lookup.
+    For facilities too many to broadcast: where flows repeat a pair of the
+    same day, this takes the bulk and the skew of a busy facility away before
+    the lookups have to shuffle.
     """
     return flows.groupBy(
         utc_day(flows, "day").alias("day"), "origin", "destination"
@@ -64,6 +65,29 @@ def map_flows(
     return with_values(mapped, COMPLETE)
 
 
+def month_totals(mapped: DataFrame) -> DataFrame:
+    """Mapped flows, incomplete ones included, counted per month and ends.
+
+    Bounded by months and pairs of countries, and enough for both the monthly
+    counts and the profile of what is missing. A facility is reduced to
+    whether it is known.
+    """
+    ends = [f"{end}_{part}" for end in DIRECTIONS for part in ("country_code", "country")]
+    known = {
+        f"{end}_icao": F.when(F.col(f"{end}_icao").isNotNull(), F.lit(True)) for end in DIRECTIONS
+    }
+    return (
+        mapped.select(
+            F.trunc("day", "month").alias("day"),
+            *ends,
+            *[flag.alias(name) for name, flag in known.items()],
+        )
+        .groupBy("day", *ends, *known)
+        .agg(F.count("*").alias(WEIGHT))
+        .withColumn("year_month", month_text(F.col("day")))
+    )
+
+
 def count_flows(
     mapped: DataFrame,
     direction: str = "origin",
