@@ -36,6 +36,7 @@ from tallyflow.plans.flows import count_flows, map_flows
 from tallyflow.plans.marts import (
     cases_with_flows,
     destination_flows,
+    marts_from_csv,
     marts_from_results,
     monthly_cases,
     pair_flows,
@@ -50,7 +51,7 @@ from tallyflow.plans.views import (
     time_series,
 )
 from tallyflow.session import stage_path
-from tallyflow.sources.readers import read_partitioned, read_wide_series
+from tallyflow.sources.readers import read_end_flows, read_partitioned, read_wide_series
 from tallyflow.sources.sinks import RESULT_PARTITIONS, write_csv
 
 SECOND_BATCH = dt.date(1998, 9, 16)
@@ -186,7 +187,12 @@ def wide_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "end_country",
         F.col("flight_count").alias("flights"),
     )
-    return series_marts(read_wide_series(spark, path), arrivals, FOCUS)["focus_with_flows"]
+    flow_path = stage_path(spark, "end-flows")
+    write_csv(arrivals, flow_path)
+    tables = series_marts(
+        read_wide_series(spark, path), read_end_flows(spark, flow_path), FOCUS
+    )
+    return tables["focus_with_flows"]
 
 
 def month_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +364,28 @@ def run_and_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts_from_results(spark, out, FOCUS, FILE_SPEC)["focus_with_flows"]
 
 
+def csv_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Both batches of both families as CSV files, each family read in one go."""
+    root = stage_path(spark, "monthly-csv")
+    for name, rows in {"cases": case_rows, "flows": flow_rows}.items():
+        (
+            rows(spark, sf_dir)
+            .write.partitionBy("batch")
+            .option("header", True)
+            .csv(f"{root}/{name}")
+        )
+    cases_glob, flows_glob = f"{root}/cases/batch=*", f"{root}/flows/batch=*"
+    return marts_from_csv(spark, cases_glob, cases_glob, flows_glob, FOCUS)
+
+
+def csv_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_marts(spark, sf_dir)["focus_with_flows"]
+
+
+def csv_cases_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_marts(spark, sf_dir)["cases_long"]
+
+
 QUERIES = {
     "batch_union_recombine": recombined_cases,
     "batch_union_recombine_max": recombined_cases_max,
@@ -382,6 +410,8 @@ QUERIES = {
     "month_domain": months,
     "default_range": ranges,
     "label_sanitise": labels,
+    "csv_marts_focus": csv_focus,
+    "csv_marts_cases_long": csv_cases_long,
     "all_period_job": whole_run,
     "dashboard_marts": run_and_marts,
 }
@@ -518,6 +548,8 @@ SQL = {
                replace(p_name, ' ', '_') || '__' || p_type || '__all' AS slug,
                substr(p_brand, 7, 2) AS brand_number, 1 AS is_number
         FROM part""",
+    "csv_marts_focus": sql(f"SELECT * FROM {JOINED} WHERE country = '{FOCUS}'"),
+    "csv_marts_cases_long": sql("SELECT * FROM cases_long"),
     "all_period_job": sql(
         """SELECT 'cases' AS dataset, year_month AS part, area AS label,
                CAST("Confirmed_monthly_new" AS DOUBLE) AS value FROM months
@@ -530,6 +562,7 @@ SQL = {
         + " UNION ALL ".join(RUN_QUALITY)
         + """
             UNION ALL SELECT 'facilities', 'repeated_facilities', 0.0
+            UNION ALL SELECT 'names', 'unmatched_names', 0.0
             UNION ALL SELECT 'flow_nulls', unnest(['day', 'year_month', 'origin_icao',
                 'origin_country_code', 'origin_country', 'destination_icao',
                 'destination_country_code', 'destination_country']), 0.0) AS q"""

@@ -17,7 +17,7 @@ from tallyflow.checks.tables import (
     supplier_facilities,
     table,
 )
-from tallyflow.functions.calendar import day_text, utc_day
+from tallyflow.functions.calendar import day_text
 from tallyflow.functions.columns import named
 from tallyflow.operators.filters import (
     abnormal_days,
@@ -271,6 +271,8 @@ QUALITY_LINES = [
         f"count(DISTINCT n_name) FILTER (WHERE {ALIASED} <> n_name)",
         CUSTOMERS,
     ),
+    f"""SELECT DISTINCT 'unmatched_name' AS section, {ALIASED} AS metric, 1.0::DOUBLE AS value
+    FROM {CUSTOMERS} WHERE {ALIASED} <> n_name""",
 ]
 
 SQL = {

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from tallyflow.functions.columns import named
 from tallyflow.functions.text import areas_label
-from tallyflow.operators.filters import among, with_values
+from tallyflow.operators.filters import among, renamed_areas, with_values
 from tallyflow.operators.lookups import place_table
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals, area_months
 from tallyflow.plans.flows import COMPLETE, count_flows, flow_order, map_flows, month_totals
-from tallyflow.plans.quality_report import flow_report, snapshot_report
+from tallyflow.plans.quality_report import flow_report, snapshot_report, unmatched_names
 from tallyflow.plans.snapshots import days_from_totals
 from tallyflow.schemas import AREA_ALIASES, SnapshotSpec
 from tallyflow.session import staged
@@ -88,6 +89,13 @@ def run_batch(
         sort=flow_order("destination", "year_month"),
     )
 
-    lines = union_by_name([snapshot_report(totals, spec), flow_report(flow_totals, facilities)])
+    areas_seen = months.select(renamed_areas(named(spec.area), AREA_ALIASES).alias("area"))
+    lines = union_by_name(
+        [
+            snapshot_report(totals, spec),
+            flow_report(flow_totals, facilities),
+            unmatched_names(areas_seen, "area", codes, "country"),
+        ]
+    )
     write_batch(lines, paths["quality"], batch=batch, areas=label)
     return paths

@@ -41,6 +41,12 @@ def flow_report(mapped: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def unmatched_names(names: DataFrame, name: str, known: DataFrame, known_name: str) -> DataFrame:
-    """One line: the number of distinct names the other table does not know."""
+    """Names the other table does not know: their number, and a line for each."""
     missing = unmatched(names, name, known, known_name)
-    return report_lines(missing.agg(F.count("*").alias("unmatched_names")), "names")
+    total = report_lines(missing.agg(F.count("*").alias("unmatched_names")), "names")
+    each = missing.select(
+        F.lit("unmatched_name").alias("section"),
+        F.col(name).alias("metric"),
+        F.lit(1.0).alias("value"),
+    )
+    return total.unionByName(each)

@@ -91,6 +91,7 @@ def test_run_of_one_month_for_one_country_twice(spark, inputs, tmp_path):
     assert lines["area_day_nulls", "Confirmed_daily_new"] == 2
     assert lines["flow_nulls", "origin_country"] == 1
     assert lines["facilities", "repeated_facilities"] == 1
+    assert lines["names", "unmatched_names"] == 0
 
 
 @pytest.mark.parametrize("areas", [None, []])

@@ -12,6 +12,7 @@ from tallyflow.plans.flows import (
     pair_counts,
 )
 from tallyflow.operators.quality import null_profile
+from tallyflow.plans.quality_report import unmatched_names
 from tests.conftest import rows
 
 FLOW = "day string, origin string, destination string"
@@ -198,3 +199,7 @@ def test_unmatched_names(spark):
     cases = spark.createDataFrame([("US",), ("Atlantis",), ("Atlantis",), (None,)], "n string")
     known = spark.createDataFrame([("US",), ("FR",)], "c string")
     assert rows(unmatched(cases, "n", known, "c")) == [("Atlantis",)]
+    assert rows(unmatched_names(cases, "n", known, "c")) == [
+        ("names", "unmatched_names", 1.0),
+        ("unmatched_name", "Atlantis", 1.0),
+    ]
