@@ -33,9 +33,21 @@ def place_table(facilities: DataFrame, codes: DataFrame) -> DataFrame:
     """Facilities with code and name, so that a flow needs one lookup per end."""
     facility = unique_by(facilities, "icao", "country")
     code = unique_by(codes, "country_code", "country")
-    return facility.withColumnRenamed("country", "country_code").join(
+    places = facility.withColumnRenamed("country", "country_code").join(
         code, "country_code", "left"
-    ).select("icao", "country_code", "country")
+    )
+    return splittable(places.select("icao", "country_code", "country"))
+
+
+def splittable(dimension: DataFrame) -> DataFrame:
+    """A dimension that AQE can join to skewed facts.
+
+    AQE splits a heavy partition only where both sides of a sort merge join
+    come right out of a shuffle made for that join. A dimension that was
+    grouped by its key would be joined as it lies; the rebalance makes Spark
+    shuffle it, the smaller side, once more.
+    """
+    return dimension.hint("rebalance")
 
 
 def attach(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions.calendar import month_text, utc_day
 from tallyflow.functions.columns import named
 from tallyflow.operators.filters import among, require_one_of, with_values
-from tallyflow.operators.lookups import attach, unique_by
+from tallyflow.operators.lookups import attach, splittable, unique_by
 
 DIRECTIONS = ("origin", "destination")
 PERIODS = ("day", "year_month")
@@ -162,7 +162,7 @@ def country_pair_counts(
             .join(names[end].select("country_code"), "country_code", "left_semi")
             .withColumnRenamed("country_code", f"{end}_country_code")
         )
-        coded = coded.join(placed, end).drop(end)
+        coded = coded.join(splittable(placed), end).drop(end)
     counts = (
         coded.filter(F.col("origin_country_code") != F.col("destination_country_code"))
         .groupBy("period", "origin_country_code", "destination_country_code")

@@ -203,3 +203,32 @@ def test_unmatched_names(spark):
         ("names", "unmatched_names", 1.0),
         ("unmatched_name", "Atlantis", 1.0),
     ]
+
+
+def test_aqe_splits_a_busy_facility(spark, conf):
+    """Facilities too large to broadcast, codes small enough."""
+    flows = spark.range(200000).select(
+        F.lit("2021-01-01").cast("date").alias("day"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("origin"),
+        (F.col("id") % 4999).alias("destination"),
+    )
+    facilities = spark.range(5000).select(
+        F.col("id").alias("icao"), (F.col("id") % 9).alias("country")
+    )
+    codes = spark.range(9).select(
+        F.col("id").alias("country_code"), F.col("id").cast("string").alias("country")
+    )
+    with conf(
+        spark__sql__autoBroadcastJoinThreshold="16k",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="64k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="128k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+    ):
+        for counts in (
+            country_pair_counts(flows, facilities, codes),
+            count_flows(map_flows(flows, place_table(facilities, codes))),
+        ):
+            assert counts.agg(F.sum("flight_count")).first()[0] > 100000
+            counts.collect()
+            plan = counts._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan
