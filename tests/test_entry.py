@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_module
+from tallyflow.checks import all_checks
 from tools.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,19 +20,23 @@ def connection():
     return duck(SF_DIR)
 
 
+QUERIES, SQL = all_checks()
+
+
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    query, statement = entry_module.queries()[name], entry_module.oracle_sql()[name]
+    query, statement = QUERIES[name], SQL[name]
     assert compare(spark, connection, SF_DIR, name, query, statement).startswith("equal")
 
 
 @pytest.mark.parametrize("name", ["flow_counts_daily", "snapshot_daily", "valid_dates"])
 def test_results_do_not_depend_on_the_session_zone(spark, connection, conf, name):
-    query, statement = entry_module.queries()[name], entry_module.oracle_sql()[name]
+    query, statement = QUERIES[name], SQL[name]
     with conf(spark__sql__session__timeZone="America/New_York"):
         assert compare(spark, connection, SF_DIR, name, query, statement).startswith("equal")
 
