@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import language_id
+from tallyflow.llm import language_id, quality_rules
 from tallyflow.llm.common import read, remainder
 
 
@@ -17,8 +17,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_quality_rules": op3_quality_rules,
 }
 
 SQL: dict[str, str] = {}
