@@ -140,26 +140,30 @@ def default_rules() -> list[Rule]:
 
 @dataclass
 class VoteModel:
-    """Share of good documents, and for each rule how often its vote is right."""
+    """Assumed share of good documents, and for each rule how often its vote is right."""
 
-    prior: float
+    balance: float
     accuracy: list[float]
 
     def posterior(self, votes: list[Column]) -> Column:
-        odds = F.lit(log(self.prior / (1 - self.prior)))
+        odds = F.lit(log(self.balance / (1 - self.balance)))
         for vote, right in zip(votes, self.accuracy):
             odds = odds + vote * F.lit(log(right / (1 - right)))
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: DataFrame, rules: list[Rule], rounds: int = 25, tolerance: float = 1e-4) -> VoteModel:
+def fit(
+    patterns: DataFrame, rules: list[Rule], balance: float = 0.7, rounds: int = 25, tolerance: float = 1e-4
+) -> VoteModel:
     """Expectation-maximisation over the counts of vote patterns (votes, n).
 
     A round is one aggregate of ``patterns``: for each rule, the expected number
     of its votes that name the true class. Accuracies start at 0.8, the sums are
-    smoothed by one vote, and no rule is trusted beyond 0.98 or below 0.5.
+    smoothed by one vote, and no rule is trusted beyond 0.98 or below 0.5. The
+    balance is given, not estimated: as most documents get no bad vote at all,
+    an estimate would outweigh the few rules that see a rare kind of junk.
     """
-    model = VoteModel(0.8, [0.8] * len(rules))
+    model = VoteModel(balance, [0.8] * len(rules))
     votes = [F.col(r.name) for r in rules]
     for _ in range(rounds):
         good = F.col("n") * model.posterior(votes)
@@ -167,12 +171,10 @@ def fit(patterns: DataFrame, rules: list[Rule], rounds: int = 25, tolerance: flo
         for r, v in zip(rules, votes):
             right = F.when(v == 1, good).when(v == -1, F.col("n") - good)
             sums += [F.sum(right).alias(f"{r.name}_right"), F.sum(F.when(v != 0, F.col("n"))).alias(f"{r.name}_all")]
-        row = patterns.agg(F.sum(good).alias("good"), F.sum("n").alias("n"), *sums).first()
-        if not row["n"]:
-            break
+        row = patterns.agg(*sums).first()
         found = [((row[f"{r.name}_right"] or 0) + 0.8) / ((row[f"{r.name}_all"] or 0) + 1) for r in rules]
-        new = VoteModel(min(0.98, max(0.5, row["good"] / row["n"])), [min(0.98, max(0.5, x)) for x in found])
-        moved = max(abs(x - y) for x, y in zip([new.prior, *new.accuracy], [model.prior, *model.accuracy]))
+        new = VoteModel(balance, [min(0.98, max(0.5, x)) for x in found])
+        moved = max(abs(x - y) for x, y in zip(new.accuracy, model.accuracy))
         model = new
         if moved < tolerance:
             break
