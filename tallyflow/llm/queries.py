@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import language_id, quality_rules
+from tallyflow.llm import block_naming, language_id, quality_rules
 from tallyflow.llm.common import read, remainder
 
 
@@ -23,9 +23,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.find_copies(read(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH t AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+            FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY body)""",
+}
