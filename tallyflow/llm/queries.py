@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, language_id, quality_rules
+from tallyflow.llm import block_naming, byte_pairs, language_id, quality_rules
 from tallyflow.llm.common import read, remainder
 
 
@@ -29,10 +30,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_pairs.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 SQL: dict[str, str] = {
