@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, language_id, quality_rules
+from tallyflow.llm import block_naming, byte_pairs, language_id, quality_rules, source_mix
 from tallyflow.llm.common import read, remainder
 
 
@@ -35,11 +35,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_source_mix": op10_source_mix,
 }
 
 SQL: dict[str, str] = {
