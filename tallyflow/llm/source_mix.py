@@ -9,7 +9,8 @@ the direction drawn so that every expectation is kept. Each chunk of a source
 ends with one open document at most, and open documents of neighbouring chunks
 meet in a reduction tree until one is left per source and is rounded by a draw.
 So a source's words miss its target by less than one document, and mostly by less
-than a small one, since documents trade with others of about their size.
+than a small one: documents trade in order of size, and one much larger than the
+next trades with all smaller ones of its chunk at once.
 
 Chunks are cut by a hash of the key, so a source with a third of all rows is many
 chunks. All draws come from hashes of the key: reruns agree.
@@ -70,13 +71,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 def settle(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Pivotal rounding of ``part`` (0 to 1) along the rows; at most one stays open.
 
-    Words are conserved: what one document loses in words the other gains.
+    Words are conserved: what one document loses in words the other gains. A
+    document more than twice as large as the next would outlast one small partner
+    after another, so it trades with all that follow as one bundle.
     """
     part = part.copy()
     held = -1
     for i in range(len(part)):
         if not 0.0 < part[i] < 1.0:
             continue
+        if held >= 0 and size[held] > 2 * size[i]:
+            trade_with_rest(size, part, held, i, draws[held])
+            if not 0.0 < part[held] < 1.0:
+                held = -1
+            if not 0.0 < part[i] < 1.0:
+                continue
         if held < 0:
             held = i
             continue
@@ -96,6 +105,27 @@ def settle(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return part
 
 
+def trade_with_rest(size: np.ndarray, part: np.ndarray, a: int, start: int, draw: float) -> None:
+    """One trade of ``a`` with all rows from ``start`` on, until one of them is integral.
+
+    The rest moves along the same line in either direction, so expectations stay.
+    """
+    rest = part[start:]
+    slope = rest * (1 - rest)
+    words = float(slope @ size[start:])
+    if words <= 0:
+        return
+    live = slope > 0
+    full, empty = (1 - part[a]) * size[a] / words, part[a] * size[a] / words
+    up, down = min(full, float((1 / (1 - rest[live])).min())), min(empty, float((1 / rest[live]).min()))
+    rising = draw * (up + down) < down
+    step, limit = (up, full) if rising else (-down, -empty)
+    rest -= step * slope
+    rest[live & (rest < 1e-12)] = 0.0
+    rest[live & (rest > 1 - 1e-12)] = 1.0
+    part[a] = float(rising) if step == limit else part[a] + step * words / size[a]
+
+
 def settle_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     """Largest documents first: they settle among their like, and a small one stays open."""
     rows = rows.sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
