@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, language_id, quality_rules, source_mix
+from tallyflow.llm import block_naming, byte_pairs, language_id, quality_classifier, quality_rules, source_mix
 from tallyflow.llm.common import read, remainder
+from tallyflow.session import staged
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = staged(quality_classifier.statistics(read(spark, sf_dir, "documents")), "quality-stats")
+    model = quality_classifier.train(stats, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality_classifier.score(stats, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_pairs.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -45,6 +57,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mix": op10_source_mix,
 }
