@@ -118,7 +118,7 @@ def identities(docs: DataFrame) -> DataFrame:
     Two rows have equal texts exactly if level and name are equal.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
-    spread = F.coalesce(F.xxhash64("block"), F.xxhash64("row"))
+    spread = F.when(F.col("block").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("block"))
     blocks = docs.select("doc_id", "text").mapInArrow(
         block_rows, f"doc_id {key}, row long, text_sha256 string, block binary, refs binary"
     )
