@@ -42,13 +42,13 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
-    """source, source_size and target: one row per source.
+    """source, source_size, source_rows and target: one row per source.
 
     Sources are filled by weight up to their caps. In order of cap / weight, the
     first k are capped exactly if the level that the others reach without them
     is above the k-th cap, so one cumulative sum over sources finds the level.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     everything = Window.partitionBy(F.lit(1))
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
         # The level rises while sources are capped and is final from the first that is not.
         .withColumn("open_level", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
         .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("cap"))))
-        .select("source", "source_size", "target")
+        .select("source", "source_size", "source_rows", "target")
     )
 
 
@@ -134,11 +134,11 @@ def settle_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 11, chunk_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 11, chunk_rows: int = 1024) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row."""
     sizes = staged(sized(docs), "mix-sizes")
     goals = staged(targets(sizes, weights, most), "mix-targets")
-    chunks = width(sizes.count(), chunk_rows, 1)
+    chunks = width(goals.agg(F.max("source_rows")).first()[0] or 0, chunk_rows, 1)
     # Sources may be null: names are compared as structs of text and nullness.
     named = lambda df: df.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -150,9 +150,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
         .withColumn("part", F.col("copies") - F.col("whole"))
         .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
         .withColumn("coin", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40))
-        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.lit(chunks)))
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.ceil(F.col("source_rows") / chunk_rows)))
         .withColumn("row", F.xxhash64("name", "doc_id"))
-        .drop("copies")
+        .drop("copies", "source_rows")
     )
     open_part = (F.col("part") > 0) & (F.col("part") < 1)
     schema = rows.schema
