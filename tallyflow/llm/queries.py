@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, source_mix
+from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix
 from tallyflow.llm.common import read, remainder
 from tallyflow.session import staged
 
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -60,6 +64,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
