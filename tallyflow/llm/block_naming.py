@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import lower_ascii, slices, text_bytes
+from tallyflow.llm.common import lower_ascii, numbered, slices, text_bytes
 from tallyflow.session import staged
 
 BLOCK = 2048
@@ -51,22 +51,17 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Rows of texts have no block; they carry key, digest and number of the row.
     """
-    from pyspark import TaskContext
-
-    row = TaskContext.get().partitionId() << 40
     for batch in slices(batches, 16 << 20):
         data, ends = text_bytes(batch["text"])
         data = lower_ascii(data).tobytes()
         seen: dict[bytes, list[tuple[int, int, int]]] = {}
-        digests, numbers = [], []
-        for i in range(batch.num_rows):
+        digests, numbers = [], batch["row"].to_pylist()
+        for i, row in enumerate(numbers):
             text = data[ends[i] : ends[i + 1]]
             blocks = max(1, -(-len(text) // BLOCK))
             for b in range(blocks):
                 seen.setdefault(text[b * BLOCK : (b + 1) * BLOCK], []).append((row, b, blocks))
             digests.append(hashlib.sha256(text).hexdigest())
-            numbers.append(row)
-            row += 1
         n, m = len(numbers), len(seen)
         nothing = pa.nulls(m, pa.string())
         yield pa.RecordBatch.from_arrays(
@@ -119,7 +114,7 @@ def identities(docs: DataFrame) -> DataFrame:
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     spread = F.when(F.col("block").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("block"))
-    blocks = docs.select("doc_id", "text").mapInArrow(
+    blocks = numbered(docs, "doc_id", "text").mapInArrow(
         block_rows, f"doc_id {key}, row long, text_sha256 string, block binary, refs binary"
     )
     level_0 = staged(

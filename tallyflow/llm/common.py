@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 SLICE_BYTES = 4 << 20
+HASHED_BYTES = 1 << 20
 
 _SEED = np.random.default_rng(20240)
 _BYTE_VALUE = _SEED.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,6 +35,25 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns with ``row``, a number for each row, increasing within a partition.
+
+    The number stands for the place of a row in its table: reading the same table
+    on storage again, or repeating a lost task, gives the same numbers.
+    """
+    return docs.select(F.monotonically_increasing_id().alias("row"), *columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no table needs any more.
+
+    Spark deletes them once its driver has collected the plans as garbage. A job of
+    several written stages would else hold the shuffles of all of them on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(rows: int, per_partition: int, least: int) -> int:
     """Partitions so that each holds about so many rows."""
     return max(least, -(-rows // per_partition))
@@ -100,17 +121,29 @@ class Words:
         self._solid = solid
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of its bytes, then mixed."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
+        """A 64-bit hash of each word: a polynomial of its bytes, then mixed.
+
+        Worked out for some words at a time, as it needs several integers a byte.
+        """
         size = self.stop - self.start
-        at = np.cumsum(size) - size
-        letters = self.data[self._solid]
-        place = np.arange(len(letters), dtype=np.int64) - np.repeat(at, size)
+        out = np.empty(len(size), np.uint64)
+        if not len(size):
+            return out
         powers = np.full(int(size.max()), _BASE[which], np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        return mixed(np.add.reduceat(_BYTE_VALUE[which][letters] * powers[place], at) + size.astype(np.uint64))
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(size):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + HASHED_BYTES, side="right")))
+            at = ends[a:b] - size[a:b] - before
+            span = slice(int(self.start[a]), int(self.stop[b - 1]))
+            letters = self.data[span][self._solid[span]]
+            place = np.arange(len(letters), dtype=np.int64) - np.repeat(at, size[a:b])
+            out[a:b] = np.add.reduceat(_BYTE_VALUE[which][letters] * powers[place], at)
+            a = b
+        return mixed(out + size.astype(np.uint64))
 
     def windows(self, length: int, which: int = 0, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each window of ``length`` words, and the number of its first word."""
@@ -134,21 +167,3 @@ def rolled(h: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     for i in range(length):
         total = total * _BASE[1 - which] + h[i : i + n]
     return mixed(total)
-
-
-def packed(a: np.ndarray) -> bytes:
-    return a.tobytes()
-
-
-def chunks(column: pa.Array) -> Iterator[bytes]:
-    for value in column:
-        yield value.as_buffer()
-
-
-def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[starts[0]:starts[0]+sizes[0]], then the next run, and so on."""
-    total = int(sizes.sum())
-    if not total:
-        return values[:0]
-    at = np.cumsum(sizes) - sizes
-    return values[np.arange(total) - np.repeat(at - starts, sizes)]

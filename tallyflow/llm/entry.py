@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tallyflow.llm import queries
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries.QUERIES)
+    return {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def corpus_sql() -> dict[str, str]:
-    return dict(queries.SQL)
+    sql = dict(queries.SQL)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql

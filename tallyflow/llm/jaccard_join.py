@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import Words, lower_ascii, mixed, rolled, slices, text_bytes
+from tallyflow.llm.common import Words, lower_ascii, mixed, numbered, release, rolled, slices, text_bytes
 from tallyflow.llm.components import components
 from tallyflow.session import staged
 
@@ -77,12 +77,12 @@ def shingle_sets(column: pa.Array, length: int = WORDS) -> tuple[np.ndarray, np.
 
 def to_fragment(base: int, rows: np.ndarray, tokens: np.ndarray, weights: np.ndarray) -> bytes:
     low = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :7]
-    return b"".join([np.array([base, len(rows)], np.int64).tobytes(), rows.astype(np.uint16).tobytes(), weights.tobytes(), low.tobytes()])
+    return b"".join([np.array([base, len(rows)], np.int64).tobytes(), np.diff(rows, prepend=0).astype(np.uint16).tobytes(), weights.tobytes(), low.tobytes()])
 
 
 def from_fragment(blob: memoryview, number: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base, n = np.frombuffer(blob, np.int64, 2)
-    rows = np.frombuffer(blob, np.uint16, n, 16).astype(np.int64) + base
+    rows = np.cumsum(np.frombuffer(blob, np.uint16, n, 16), dtype=np.int64) + base
     weights = np.frombuffer(blob, np.uint8, n, 16 + 2 * n)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, 16 + 3 * n).reshape(-1, 7)
@@ -129,16 +129,15 @@ def bucketed(rows: np.ndarray, tokens: np.ndarray, often: np.ndarray, buckets: i
 
 def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Cuts documents along the fragments. Parts from 2 ** bits on are buckets of documents."""
-    from pyspark import TaskContext
-
-    fragments, base = 1 << bits, TaskContext.get().partitionId() << 40
+    fragments = 1 << bits
     for whole in slices(batches, 12 << 20):
         for at in range(0, whole.num_rows, 1 << 16):
             batch = whole.slice(at, 1 << 16)
             key = batch["doc_id"].type
             tokens, owner = shingle_sets(batch["text"])
             count = np.bincount(owner, minlength=batch.num_rows)
-            numbers = np.arange(base, base + batch.num_rows)
+            numbers = batch["row"].to_numpy()
+            base = int(numbers[0])  # rows of a batch follow each other
             homes = bucket_of(numbers, buckets) + fragments
             yield batch_of(key, list(zip(homes.tolist(), batch["doc_id"].to_pylist(), numbers.tolist(), count.tolist(), [None] * batch.num_rows)))
             new = np.ones(len(tokens), bool)
@@ -161,7 +160,6 @@ def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator
                     order = np.argsort(owner[a:b], kind="stable") + a
                     rows.append((f, None, None, None, to_fragment(base, owner[order], tokens[order], weights[order])))
             yield batch_of(key, rows)
-            base += batch.num_rows
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -231,12 +229,12 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
     """doc_id, row, n (shingles) and, where a partner is possible, the shared ones in prefix order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     chars = docs.select(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    bits = min(20, max(8, (chars // (6 << 18)).bit_length()))
-    buckets = max(64, chars // (6 << 20))
+    bits = min(20, max(8, (chars // (12 << 20)).bit_length()))
+    buckets = max(64, chars // (12 << 20))
     key = pa_type(docs)
     schema = f"part long, doc_id {kind}, row long, n long, blob binary"
     return staged(
-        docs.select("doc_id", "text")
+        numbered(docs, "doc_id", "text")
         .mapInArrow(lambda b: deal(b, bits, buckets), schema)
         .repartition("part")
         .sortWithinPartitions("part")
@@ -311,10 +309,14 @@ def similar_size(n: str, m: str) -> F.Column:
     return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
-def candidate_links(sets: DataFrame, star_rounds: int) -> DataFrame:
-    """row and label for each document of ``sets`` (row, n, tokens) that is linked to another."""
-    cut = staged(sets.select("row", "tokens").mapInArrow(pieces, "row long, fragment int, piece binary"), "set-pieces")
-    keys = staged(sets.select("row", "n", "tokens").mapInArrow(prefixes, "key long, row long, n long"), "prefix-keys")
+def candidate_links(sets: DataFrame, firsts: DataFrame, star_rounds: int) -> DataFrame:
+    """row and label for each document that is linked to another.
+
+    ``sets`` (row, n, tokens) are looked at if their row is in ``firsts``.
+    """
+    cut = sets.select("row", "tokens").mapInArrow(pieces, "row long, fragment int, piece binary")
+    keys = sets.select("row", "n", "tokens").mapInArrow(prefixes, "key long, row long, n long")
+    keys = staged(keys.join(firsts, "row", "left_semi"), "prefix-keys")
     labels = None
     for turn in range(star_rounds + 1):
         if labels is None:
@@ -358,19 +360,29 @@ def candidate_links(sets: DataFrame, star_rounds: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
-    """doc_id, row, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, row, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
+
+    Of each class the row with the smallest key is kept.
+    """
     rows = shared_shingles(docs)
+    release(docs.sparkSession)
     open_sets = rows.filter(F.col("tokens").isNotNull())
     # A set whose shingles are all shared may equal another one.
     digest = F.when(F.col("n") * 8 == F.length("tokens"), F.sha2("tokens", 256)).otherwise(F.concat(F.lit("row "), "row"))
     named = staged(open_sets.select("row", digest.alias("digest")), "set-digests")
     first = named.groupBy("digest").agg(F.min("row").alias("first"))
     firsts = staged(named.join(first, "digest").select("row", "first"), "set-classes")
-    sets = rows.join(firsts.filter("row = first").select("row"), "row", "left_semi")
-    labels = candidate_links(sets.select("row", "n", "tokens"), star_rounds)
+    labels = candidate_links(open_sets, firsts.filter("row = first").select("row"), star_rounds)
     member = firsts
     if labels is not None:
         member = firsts.join(labels.withColumnRenamed("row", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("first"))
     labelled = rows.select("doc_id", "row", "n").join(member, "row", "left").withColumn("label", F.coalesce("first", "row"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(smallest, "label").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    smallest = labelled.groupBy("label").agg(F.min(order).alias("first_of"))
+    return labelled.join(smallest, "label").select(
+        "doc_id",
+        "row",
+        F.col("n").alias("n_shingles"),
+        F.col("first_of.doc_id").alias("component_id"),
+        (F.col("row") == F.col("first_of.row")).alias("kept"),
+    )

@@ -228,3 +228,13 @@ def score(stats: DataFrame, model: KernelRidge) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(grid(batch)))], ["doc_id", "score"])
 
     return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, model: KernelRidge, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts score ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score(statistics_of(batch["text"])) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD_PATTERN, width
+from tallyflow.llm.common import WORD_PATTERN, numbered, width
 from tallyflow.session import staged
 
 WEIGHTS = (1, 2, 3)
@@ -36,9 +36,9 @@ FAN_IN = 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every row."""
+    """row, doc_id, source and size (words) of every row."""
     count = F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long")
-    return docs.select("doc_id", "source", F.coalesce(count, F.lit(0).cast("long")).alias("size"))
+    return numbered(docs, "doc_id", "source", "text").select("row", "doc_id", "source", F.coalesce(count, F.lit(0).cast("long")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -135,7 +135,7 @@ def settle_chunk(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 11, chunk_rows: int = 1024) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row."""
+    """row, doc_id, source, size, source_size, target, copies and taken of every row."""
     sizes = staged(sized(docs), "mix-sizes")
     goals = staged(targets(sizes, weights, most), "mix-targets")
     chunks = width(goals.agg(F.max("source_rows")).first()[0] or 0, chunk_rows, 1)
@@ -151,7 +151,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
         .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
         .withColumn("coin", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40))
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.ceil(F.col("source_rows") / chunk_rows)))
-        .withColumn("row", F.xxhash64("name", "doc_id"))
         .drop("copies", "source_rows")
     )
     open_part = (F.col("part") > 0) & (F.col("part") < 1)
@@ -171,5 +170,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
         done = done.unionByName(more)
     copies = (F.col("whole") + F.round("part")).cast("long")
     return done.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
