@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix
+from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix, token_files
 from tallyflow.llm.common import read, remainder
-from tallyflow.session import staged
+from tallyflow.session import stage_path, staged
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_back(spark, path)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.find_copies(read(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
