@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix, token_files
+from tallyflow.llm import block_naming, byte_pairs, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix, token_files, warc_derivatives
 from tallyflow.llm.common import read, remainder
 from tallyflow.session import stage_path, staged
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derive(warc_derivatives.responses(read(spark, sf_dir, "pages"))).drop("record")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
@@ -69,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
