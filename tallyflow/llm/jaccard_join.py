@@ -356,6 +356,7 @@ def candidate_links(sets: DataFrame, firsts: DataFrame, star_rounds: int) -> Dat
             merged = components(staged(joined, "label-links")).select(F.col("row").alias("label"), F.col("label").alias("new"))
             members = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(labels, "row", "left_anti").withColumn("label", F.col("row")))
             labels = staged(members.join(merged, "label", "left").select("row", F.coalesce("new", "label").alias("label")), "labels")
+        release(sets.sparkSession)
     return labels
 
 
