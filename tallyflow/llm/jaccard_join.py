@@ -13,11 +13,12 @@ of each document's set that falls into it, however long the document is.
    shared). Equal sets are brought down to one document before.
 3. A pair's overlap is counted apart in every fragment and summed per pair.
 
-Links are needed only to connect documents. Within a group that shares a shingle,
-all documents are first compared with one of them, so a group of near copies
-costs pairs in proportion to its size; whoever is then connected needs no more
-comparison, and only pairs from different components are compared after that,
-all of them in the last round. Nothing is capped.
+Links are needed only to connect documents, so not every pair becomes a row. All
+documents of a group that shares a shingle are first compared with one of them.
+Where a group is then still in several components, its documents are compared
+tile by tile: two chunks of them in one task, overlaps counted in fragments and
+summed in a matrix, of which only a spanning set of links leaves the task.
+Nothing is capped.
 
 A shingle is a 64-bit hash. One that many documents of a batch share reaches its
 fragment once from that batch, marked as frequent, while the documents get their
@@ -48,6 +49,9 @@ PERCENT = 75
 # Shingles in this many documents or more rank alike in the prefix order.
 FREQUENT = 32
 PIECES = 4
+# Documents in a chunk of a large block, and frequent shingles counted at a time.
+CHUNK = 768
+FRAGMENT = 1024
 
 
 def shingle_sets(column: pa.Array, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +313,136 @@ def similar_size(n: str, m: str) -> F.Column:
     return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
-def candidate_links(sets: DataFrame, firsts: DataFrame, star_rounds: int) -> DataFrame:
+def star_links(keys: DataFrame, cut: DataFrame) -> DataFrame:
+    """Links of documents with the centre of a group that they share most keys with.
+
+    One comparison for each document at most, however large its groups are.
+    """
+    centres = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("centre"))
+    pairs = (
+        keys.join(centres, "key")
+        .filter("row != centre.row")
+        .select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("centre.row").alias("b"), F.col("centre.n").alias("n_b"))
+        .filter(similar_size("n_a", "n_b"))
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count("*").alias("shared"))
+        .groupBy("a", "n_a")
+        .agg(F.max(F.struct("shared", "b", "n_b")).alias("best"))
+        .select("a", F.col("best.b").alias("b"), (F.col("n_a") + F.col("best.n_b")).alias("both_n"))
+    )
+    return staged(linked(staged(pairs, "pairs"), cut), "links")
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def open_blocks(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """row, label and block of documents that a shared key could still connect to another label.
+
+    Documents of one block reach each other through keys that they share, within
+    a range of sizes that allows a link; pairs from two blocks need no comparison.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.0001 * 100 / PERCENT))).cast("int")
+    banded = with_labels(keys, labels).withColumn("band", F.explode(F.array(band, band + 1)))
+    groups = banded.groupBy("key", "band").agg(
+        F.min("row").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    split = banded.join(groups.filter("low < high"), ["key", "band"])
+    edges = staged(split.filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), "block-edges")
+    blocks = components(edges).withColumnRenamed("label", "block")
+    return staged(with_labels(blocks, labels), "blocks")
+
+
+def tiles(blocks: DataFrame) -> DataFrame:
+    """row and tile: which documents are compared with which.
+
+    The largest label of a block needs no comparison with itself. All others are
+    cut into chunks, and every pair of chunks is a tile, like every pair of one of
+    them and a chunk of the largest label. Small blocks are one tile.
+    """
+    counts = blocks.groupBy("block", "label").agg(F.count("*").alias("n_label"))
+    sizes = counts.groupBy("block").agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("n_block"))
+    sized = (
+        blocks.join(sizes, "block")
+        .withColumn("main", F.col("label") == F.col("top.label"))
+        .withColumn("mains", F.ceil(F.col("top.n_label") / CHUNK))
+        .withColumn("others", F.ceil((F.col("n_block") - F.col("top.n_label")) / CHUNK))
+        .withColumn("whole", F.col("n_block") <= 2 * CHUNK)
+        .filter("others > 0")
+    )
+    chunk = F.pmod(F.xxhash64("row"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    name = lambda kind, i, j: F.xxhash64("block", F.lit(kind), i, j)
+    mine = F.col("chunk")
+    found = (
+        F.when(F.col("whole"), F.array(F.xxhash64("block")))
+        .when(F.col("main"), F.transform(upto("others"), lambda i: name("main", i, mine)))
+        .otherwise(
+            F.concat(
+                F.transform(upto("others"), lambda j: name("other", F.least(mine, j), F.greatest(mine, j))),
+                F.transform(upto("mains"), lambda k: name("main", mine, k)),
+            )
+        )
+    )
+    return sized.withColumn("chunk", chunk).select("row", F.explode(found).alias("tile"))
+
+
+def overlaps(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens any two of ``n`` sets share: counted in fragments of the order, and summed."""
+    total = np.zeros((n, n), np.float32)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+    spans = np.diff(np.append(starts, len(tokens)))
+    for f in np.unique(spans[(spans > 1) & (spans < FREQUENT)]).tolist():
+        group = owner[starts[spans == f][:, None] + np.arange(f)]
+        i, j = np.triu_indices(f, 1)
+        found, count = np.unique(group[:, i].ravel() * n + group[:, j].ravel(), return_counts=True)
+        total.ravel()[found] += count
+    often = np.flatnonzero(spans >= FREQUENT)
+    for at in range(0, len(often), FRAGMENT):
+        part = often[at : at + FRAGMENT]
+        held = np.zeros((n, len(part)), np.float32)
+        for column, k in enumerate(part):
+            held[owner[starts[k] : starts[k] + spans[k]], column] = 1
+        total += np.triu(held @ held.T, 1)
+    return total + total.T
+
+
+def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the documents of a tile that are connected by links: the first of them and each other."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch[c].to_pylist() for c in ("tile", "row", "n")), batch["tokens"])
+
+    for _, members in groupby(rows(), key=itemgetter(0)):
+        _, numbers, sizes, blobs = zip(*members)
+        numbers, sizes = np.array(numbers), np.array(sizes)
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in blobs]
+        order = np.argsort(numbers)
+        owner = np.repeat(np.argsort(order), [len(x) for x in sets])
+        numbers, sizes, n = numbers[order], sizes[order], len(order)
+        shared = overlaps(np.concatenate(sets), owner, n).astype(np.int64)
+        near = 100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)
+        np.fill_diagonal(near, False)
+        first, second = [], []
+        unseen = near.any(1)
+        for start in np.flatnonzero(unseen):
+            if not unseen[start]:
+                continue
+            unseen[start] = False
+            front = np.array([start])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & unseen)
+                unseen[front] = False
+                first += [numbers[start]] * len(front)
+                second += numbers[front].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+
+def candidate_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     """row and label for each document that is linked to another.
 
     ``sets`` (row, n, tokens) are looked at if their row is in ``firsts``.
@@ -317,50 +450,16 @@ def candidate_links(sets: DataFrame, firsts: DataFrame, star_rounds: int) -> Dat
     cut = sets.select("row", "tokens").mapInArrow(pieces, "row long, fragment int, piece binary")
     keys = sets.select("row", "n", "tokens").mapInArrow(prefixes, "key long, row long, n long")
     keys = staged(keys.join(firsts, "row", "left_semi"), "prefix-keys")
-    labels = None
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            held = keys.withColumn("label", F.col("row"))
-        else:
-            held = keys.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-        order = F.struct(F.xxhash64(F.lit(turn), "row").alias("draw"), "row", "label", "n")
-        groups = held.groupBy("key").agg(F.min(order).alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
-        split = held.join(groups.filter("low < high").select("key", "centre"), "key")
-        if turn < star_rounds:
-            pairs = split.select(
-                F.col("centre.row").alias("b"), F.col("centre.label").alias("label_b"), F.col("centre.n").alias("n_b"),
-                F.col("row").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"),
-            ).filter("label_a != label_b")
-            if turn == 0:  # the centre with which a document shares most: one comparison each
-                counted = pairs.filter(similar_size("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-                pairs = counted.groupBy("a", "n_a").agg(F.max(F.struct("shared", "b", "n_b")).alias("best")).select(
-                    "a", "n_a", F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b")
-                )
-        else:
-            one = split.select("key", F.col("row").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-            two = split.select("key", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-            pairs = one.join(two, "key").filter("label_a < label_b")
-        pairs = staged(
-            pairs.filter(similar_size("n_a", "n_b")).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both_n")).distinct(), "pairs"
-        )
-        if pairs.isEmpty():
-            break
-        links = staged(linked(pairs, cut), "links")
-        if labels is None:
-            labels = components(links)
-        else:
-            joined = links
-            for end in ("a", "b"):
-                joined = joined.join(labels.select(F.col("row").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-            joined = joined.select(*(F.coalesce(f"label_{e}", e).alias(e) for e in ("a", "b")))
-            merged = components(staged(joined, "label-links")).select(F.col("row").alias("label"), F.col("label").alias("new"))
-            members = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(labels, "row", "left_anti").withColumn("label", F.col("row")))
-            labels = staged(members.join(merged, "label", "left").select("row", F.coalesce("new", "label").alias("label")), "labels")
-        release(sets.sparkSession)
-    return labels
-
-
-def near_copies(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
+    links = star_links(keys, cut)
+    release(sets.sparkSession)
+    blocks = open_blocks(keys, components(links))
+    release(sets.sparkSession)
+    spread = sets.select("row", "n", "tokens").join(tiles(blocks), "row").select("tile", "row", "n", "tokens")
+    more = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_links, "a long, b long")
+    return components(staged(links.unionByName(more), "all-links"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     Of each class the row with the smallest key is kept.
@@ -373,10 +472,8 @@ def near_copies(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     named = staged(open_sets.select("row", digest.alias("digest")), "set-digests")
     first = named.groupBy("digest").agg(F.min("row").alias("first"))
     firsts = staged(named.join(first, "digest").select("row", "first"), "set-classes")
-    labels = candidate_links(open_sets, firsts.filter("row = first").select("row"), star_rounds)
-    member = firsts
-    if labels is not None:
-        member = firsts.join(labels.withColumnRenamed("row", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("first"))
+    labels = candidate_links(open_sets, firsts.filter("row = first").select("row"))
+    member = firsts.join(labels.withColumnRenamed("row", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("first"))
     labelled = rows.select("doc_id", "row", "n").join(member, "row", "left").withColumn("label", F.coalesce("first", "row"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     smallest = labelled.groupBy("label").agg(F.min(order).alias("first_of"))
