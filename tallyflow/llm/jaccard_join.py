@@ -134,7 +134,7 @@ def bucketed(rows: np.ndarray, tokens: np.ndarray, often: np.ndarray, buckets: i
 def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Cuts documents along the fragments. Parts from 2 ** bits on are buckets of documents."""
     fragments = 1 << bits
-    for whole in slices(batches, 12 << 20):
+    for whole in slices(batches, 8 << 20):
         for at in range(0, whole.num_rows, 1 << 16):
             batch = whole.slice(at, 1 << 16)
             key = batch["doc_id"].type
