@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 
 from tallyflow.plans.batch_job import BatchInputs, run_batch
+from tallyflow.schemas import AREA_ALIASES
 from tallyflow.session import build_session
+from tallyflow.sources.readers import read_aliases
 
 
 def main() -> None:
@@ -14,10 +16,15 @@ def main() -> None:
         cli.add_argument(f"--{folder}", required=True, help="path or URI")
     cli.add_argument("--period", default="*", help="YYYYMM, YYYY or *")
     cli.add_argument("--area", action="append", default=[], help="may be given again")
+    cli.add_argument("--aliases", help="CSV with a header: name in the reports, name in the codes")
+    cli.add_argument("--csv", help="folder for the results as CSV too")
     given = cli.parse_args()
     spark = build_session()
     inputs = BatchInputs(given.reports, given.flows, given.facilities, given.codes)
-    run_batch(spark, inputs, given.out, given.period, given.area)
+    aliases = read_aliases(spark, given.aliases) if given.aliases else AREA_ALIASES
+    run_batch(
+        spark, inputs, given.out, given.period, given.area, aliases=aliases, csv=given.csv
+    )
     spark.stop()
 
 

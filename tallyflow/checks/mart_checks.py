@@ -22,6 +22,7 @@ from tallyflow.checks.tables import (
 )
 from tallyflow.functions.calendar import day_text
 from tallyflow.functions.text import all_digits, monthly_name, slug, title_label
+from tallyflow.operators.filters import renamed_areas
 from tallyflow.operators.reshape import long_days, long_stats, stat_rows, union_by_name
 from tallyflow.operators.rollups import (
     area_month_series,
@@ -51,8 +52,13 @@ from tallyflow.plans.views import (
     time_series,
 )
 from tallyflow.session import stage_path
-from tallyflow.sources.readers import read_end_flows, read_partitioned, read_wide_series
-from tallyflow.sources.sinks import RESULT_PARTITIONS, write_csv
+from tallyflow.sources.readers import (
+    read_aliases,
+    read_end_flows,
+    read_partitioned,
+    read_wide_series,
+)
+from tallyflow.sources.sinks import RESULT_PARTITIONS, write_batch, write_csv
 
 SECOND_BATCH = dt.date(1998, 9, 16)
 START, END = "1997-02", "1999-06"
@@ -138,7 +144,7 @@ def long_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stat_rows(long_cases(spark, sf_dir), "Deaths_monthly_new")
+    rows = stat_rows(cases(spark, sf_dir), "Deaths_monthly_new")
     return rows.withColumn("label", title_label(F.col("stat")))
 
 
@@ -157,11 +163,16 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One column per month, named like the days of a wide series."""
-    months = [f"{m}/1/{y % 100:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-    header = F.date_format(F.trunc(F.to_date("day"), "month"), "M/d/yy")
+    """One column per month of the orders, named like the days of a wide series."""
+    orders = orders_by_nation(spark, sf_dir)
+    month = F.trunc(F.to_date("day"), "month")
+    first, last = orders.agg(F.min(month), F.max(month)).first()
+    count = (last.year - first.year) * 12 + last.month - first.month + 1
+    numbers = [first.year * 12 + first.month - 1 + i for i in range(count)]
+    months = [f"{n % 12 + 1}/1/{n // 12 % 100:02d}" for n in numbers]
+    header = F.date_format(month, "M/d/yy")
     return (
-        orders_by_nation(spark, sf_dir)
+        orders
         .withColumn("header", header)
         .groupBy("area")
         .pivot("header", months)
@@ -216,11 +227,11 @@ def flows_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peaks_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return country_peaks(long_cases(spark, sf_dir), START, END)
+    return country_peaks(cases(spark, sf_dir), START, END)
 
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_scales(pairs(spark, sf_dir), long_cases(spark, sf_dir))
+    return map_scales(pairs(spark, sf_dir), cases(spark, sf_dir))
 
 
 def focus_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,8 +337,8 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, batch_files(spark, sf_dir), stage_path(spark, "batch-out"), spec=FILE_SPEC
     )
     columns = {
-        "cases": "year_month STRING, Country_Region STRING, Confirmed_cumulative LONG, "
-        "Confirmed_monthly_new LONG",
+        "cases": "year_month STRING, Country_Region STRING, "
+        + ", ".join(f"{m} LONG" for m in RETAIL.month_stats),
         "flows": schemas.FLOW_COUNTS,
         "quality": "section STRING, metric STRING, value DOUBLE",
     }
@@ -346,11 +357,18 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.col(value).cast("double"), 6).alias("value"),
         )
 
-    pair = F.concat_ws(" to ", "origin_country", "destination_country")
+    pair = F.concat_ws(
+        " to ",
+        F.concat_ws(" ", "origin_country_code", "origin_country"),
+        F.concat_ws(" ", "destination_country_code", "destination_country"),
+    )
     read["flows"] = read["flows"].withColumn("pair", pair)
     return union_by_name(
         [
-            lines("cases", "year_month", "Country_Region", "Confirmed_monthly_new"),
+            *[
+                lines("cases", "year_month", "Country_Region", m).withColumn("dataset", F.lit(m))
+                for m in RETAIL.month_stats
+            ],
             lines("flows", "year_month", "pair", "flight_count"),
             lines("quality", "section", "metric", "value"),
         ]
@@ -378,6 +396,35 @@ def csv_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return marts_from_csv(spark, cases_glob, cases_glob, flows_glob, FOCUS)
 
 
+def overlapping_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year and one of its months as batches of their own: the month counts once."""
+    out = stage_path(spark, "overlap-out")
+    months = area_month_table(reports(spark, sf_dir), RETAIL).withColumnRenamed("area", "Country_Region")
+    counts = count_flows(map_flows(flows(spark, sf_dir), *places(spark, sf_dir)), "destination", "year_month")
+    counts = counts.withColumns({c: F.col(c).cast("string") for c in ("origin_country_code", "destination_country_code")})
+    for batch, stem in (("1998", "1998-"), ("199809", "1998-09")):
+        part = months.filter(F.col("year_month").startswith(stem))
+        write_batch(part, f"{out}/cases", batch=batch)
+        write_batch(part.filter(F.col("Country_Region") == FOCUS), f"{out}/cases", batch=batch, areas=FOCUS)
+        write_batch(counts.filter(F.col("year_month").startswith(stem)), f"{out}/flows", batch=batch, areas=FOCUS)
+    return marts_from_results(spark, out, FOCUS, FILE_SPEC)["focus_with_flows"]
+
+
+def aliased_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations renamed by an alias table that comes as a CSV file."""
+    path = stage_path(spark, "aliases")
+    nations = codes(spark, sf_dir)
+    write_csv(
+        nations.filter("country_code % 2 = 0").select(
+            F.col("country").alias("name"), F.concat(F.lit("Land of "), "country").alias("known")
+        ),
+        path,
+    )
+    return nations.select(
+        "country_code", renamed_areas(F.col("country"), read_aliases(spark, path)).alias("country")
+    )
+
+
 def csv_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_marts(spark, sf_dir)["focus_with_flows"]
 
@@ -414,6 +461,8 @@ QUERIES = {
     "csv_marts_cases_long": csv_cases_long,
     "all_period_job": whole_run,
     "dashboard_marts": run_and_marts,
+    "marts_overlapping_batches": overlapping_marts,
+    "alias_table_lookup": aliased_lookup,
 }
 
 MERGED = """
@@ -481,7 +530,8 @@ SQL = {
         """SELECT a.area, strftime(m.day, '%Y-%m-%d') AS day, CAST(sum(price) AS BIGINT) AS price
         FROM (SELECT DISTINCT area FROM orders_by_nation) AS a
         CROSS JOIN (SELECT CAST(unnest(generate_series(
-            DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS day) AS m
+            (SELECT date_trunc('month', min(o_orderdate)) FROM orders),
+            (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS DATE) AS day) AS m
         LEFT JOIN orders_by_nation AS o
             ON o.area = a.area AND date_trunc('month', o.day) = m.day
         GROUP BY 1, 2"""
@@ -492,7 +542,8 @@ SQL = {
                    CAST(sum(price) AS BIGINT) AS cases
             FROM (SELECT DISTINCT area FROM orders_by_nation WHERE area = '{FOCUS}') AS a
             CROSS JOIN (SELECT CAST(unnest(generate_series(
-                DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS day) AS m
+                (SELECT date_trunc('month', min(o_orderdate)) FROM orders),
+            (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS DATE) AS day) AS m
             LEFT JOIN orders_by_nation AS o
                 ON o.area = a.area AND date_trunc('month', o.day) = m.day
             GROUP BY 1, 2) AS c
@@ -551,22 +602,39 @@ SQL = {
     "csv_marts_focus": sql(f"SELECT * FROM {JOINED} WHERE country = '{FOCUS}'"),
     "csv_marts_cases_long": sql("SELECT * FROM cases_long"),
     "all_period_job": sql(
-        """SELECT 'cases' AS dataset, year_month AS part, area AS label,
-               CAST("Confirmed_monthly_new" AS DOUBLE) AS value FROM months
-        UNION ALL
-        SELECT 'flows', year_month, origin_country || ' to ' || destination_country,
+        " UNION ALL ".join(
+            f"""SELECT '{m}' AS dataset, year_month AS part, area AS label,
+               CAST("{m}" AS DOUBLE) AS value FROM months
+        """
+            for m in RETAIL.month_stats
+        )
+        + """UNION ALL
+        SELECT 'flows', year_month, origin_country_code || ' ' || origin_country || ' to '
+               || destination_country_code || ' ' || destination_country,
                CAST(flight_count AS DOUBLE) FROM flow_counts
         UNION ALL
         SELECT 'quality', section,
                CASE metric WHEN 'area' THEN 'Country_Region' ELSE metric END, value FROM ("""
         + " UNION ALL ".join(RUN_QUALITY)
         + """
+            UNION ALL SELECT * FROM (
+                SELECT 'abnormal_day', strftime(day, '%Y-%m-%d') || ' ' || area, CAST(report_rows AS DOUBLE)
+                FROM totals WHERE year(day) NOT BETWEEN 1996 AND 2000 ORDER BY day, area LIMIT 10)
             UNION ALL SELECT 'facilities', 'repeated_facilities', 0.0
             UNION ALL SELECT 'names', 'unmatched_names', 0.0
             UNION ALL SELECT 'flow_nulls', unnest(['day', 'year_month', 'origin_icao',
                 'origin_country_code', 'origin_country', 'destination_icao',
                 'destination_country_code', 'destination_country']), 0.0) AS q"""
     ),
+    "marts_overlapping_batches": sql(
+        f"""SELECT of_year.*, flight_count FROM {ONE_BATCH.replace("FROM months)", "FROM months WHERE year_month LIKE '1998-%')").replace("one_batch", "of_year")}
+        LEFT JOIN {ARRIVALS} ON of_year.month = arrivals.month AND country = end_country
+        WHERE country = '{FOCUS}'"""
+    ),
+    "alias_table_lookup": """
+        SELECT n_nationkey AS country_code,
+               CASE WHEN n_nationkey % 2 = 0 THEN 'Land of ' || n_name ELSE n_name END AS country
+        FROM nation""",
     "dashboard_marts": sql(
         f"""SELECT one_batch.*, flight_count FROM {ONE_BATCH} LEFT JOIN {ARRIVALS}
         ON one_batch.month = arrivals.month AND country = end_country

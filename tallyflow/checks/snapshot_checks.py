@@ -273,6 +273,10 @@ QUALITY_LINES = [
     ),
     f"""SELECT DISTINCT 'unmatched_name' AS section, {ALIASED} AS metric, 1.0::DOUBLE AS value
     FROM {CUSTOMERS} WHERE {ALIASED} <> n_name""",
+    """SELECT * FROM (
+        SELECT 'abnormal_day' AS section, strftime(day, '%Y-%m-%d') || ' ' || area AS metric,
+               CAST(report_rows AS DOUBLE) AS value
+        FROM totals WHERE year(day) NOT BETWEEN 1996 AND 2000 ORDER BY day, area LIMIT 10) AS a""",
 ]
 
 SQL = {

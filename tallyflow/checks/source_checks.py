@@ -67,6 +67,54 @@ def malformed_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.scan_profile(rows)
 
 
+def report_files(spark: SparkSession, sf_dir: str) -> str:
+    """All orders as reports: a third each with 14, 12 and 6 fields."""
+    folder = stage_path(spark, "mixed-reports")
+    empty = F.lit(None).cast("string")
+    orders = table(spark, sf_dir, "orders")
+    full = [
+        empty.alias("FIPS"),
+        F.col("o_orderpriority").alias("Admin2"),
+        F.col("o_orderkey").cast("string").alias("Province_State"),
+        F.col("o_orderstatus").alias("Country_Region"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Last_Update"),
+        empty.alias("Lat"),
+        empty.alias("Long_"),
+        F.floor("o_totalprice").cast("int").alias("Confirmed"),
+        F.col("o_custkey").cast("int").alias("Deaths"),
+        empty.alias("Recovered"),
+        empty.alias("Active"),
+        F.concat_ws(", ", "o_orderpriority", "o_orderstatus").alias("Combined_Key"),
+        empty.alias("Incident_Rate"),
+        empty.alias("Case_Fatality_Ratio"),
+    ]
+    for third, fields in enumerate((14, 12, 6)):
+        part = orders.filter(F.pmod("o_orderkey", F.lit(3)) == third)
+        write_csv(part.select(*full[:fields]), f"{folder}/0{third + 1}-01-2001.csv")
+    return folder
+
+
+def mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.read_reports(spark, report_files(spark, sf_dir))
+    return rows.select(
+        F.col("Province_State").cast("long").alias("o_orderkey"),
+        day_text(F.col("Last_Update")).alias("day"),
+        F.col("Country_Region").alias("area"),
+        "Confirmed",
+        "Deaths",
+        "Combined_Key",
+    )
+
+
+def mixed_layout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected rows per file and layout."""
+    rows = readers.read_reports(spark, report_files(spark, sf_dir), rejects=True)
+    named_file = F.regexp_extract(schemas.SOURCE, "/([0-9]{2})-01-2001[.]csv/", 1)
+    return readers.layout_profile(rows.withColumn(schemas.SOURCE, named_file)).select(
+        F.col(schemas.SOURCE).alias("file"), F.col("_layout").alias("layout"), "report_rows", "dated_rows"
+    )
+
+
 def text_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with a day as in a flow file, and a column no one reads."""
     return flows(spark, sf_dir).select(
@@ -133,13 +181,17 @@ def landed_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow counts through the Parquet sink; the rerun replaces the first."""
+    """Flow counts through the Parquet sink; a rerun replaces what was there."""
     path = stage_path(spark, "flow-counts")
     counts = count_flows(map_flows(flows(spark, sf_dir), *places(spark, sf_dir)), "destination", "year_month")
     for _ in range(2):
         write_batch(counts, path, batch="all", sort=flow_order("destination", "year_month"))
+    # A second batch, run again without any row, leaves none behind.
+    one_month = counts.filter(F.col("year_month") == "1997-03")
+    for rows in (one_month, one_month.limit(0)):
+        write_batch(rows, path, batch="199703")
     written = readers.read_partitioned(spark, path, counts.schema, RESULT_PARTITIONS)
-    return written.filter(F.col("batch") == "all").drop(*RESULT_PARTITIONS)
+    return written.drop(*RESULT_PARTITIONS)
 
 
 def csv_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +246,8 @@ QUERIES = {
     "csv_scan_declared_schema": declared_scan,
     "csv_scan_drop_malformed": malformed_dropped,
     "csv_scan_profile": malformed_counted,
+    "csv_scan_mixed_layouts": mixed_layouts,
+    "csv_scan_layout_counts": mixed_layout_counts,
     "gzip_csv_scan": gzip_scan,
     "scan_missing_batch": missing_batch,
     "batch_glob_select": batch_selected,
@@ -220,6 +274,15 @@ SQL = {
                count(o_totalprice) FILTER (WHERE o_orderpriority <> '1-URGENT') AS o_totalprice,
                count(o_orderdate) FILTER (WHERE o_orderpriority <> '1-URGENT') AS order_day
         FROM orders""",
+    "csv_scan_mixed_layouts": """
+        SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS area,
+               CAST(floor(o_totalprice) AS INTEGER) AS "Confirmed", CAST(o_custkey AS INTEGER) AS "Deaths",
+               o_orderpriority || ', ' || o_orderstatus AS "Combined_Key"
+        FROM orders WHERE o_orderkey % 3 < 2""",
+    "csv_scan_layout_counts": """
+        SELECT '0' || (o_orderkey % 3 + 1) AS file, CASE o_orderkey % 3 WHEN 0 THEN 14 WHEN 1 THEN 12 ELSE 0 END AS layout,
+               count(*) AS report_rows, count(*) FILTER (WHERE o_orderkey % 3 < 2) AS dated_rows
+        FROM orders GROUP BY 1, 2""",
     "gzip_csv_scan": sql(
         "SELECT strftime(day, '%Y-%m-%d') AS day, origin, destination FROM flows"
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import quote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +26,15 @@ def slug(parts: Column) -> Column:
 
 
 def areas_label(areas: Iterable[str] | None) -> str:
-    """The same rule for driver-side names; ``all`` when no area is chosen."""
-    chosen = list(areas or [])
+    """Name of the partition for a choice of areas; ``all`` when none is chosen.
+
+    The order of the choice does not matter, and two choices never share a name:
+    names are percent-encoded, so none of them can hold the comma that joins them.
+    """
+    chosen = sorted({quote(a, safe=" ") for a in areas or []})
     if not chosen:
         return "all"
-    return "__".join(chosen).replace(" ", "_").replace("*", "all")
+    return "%61ll" if chosen == ["all"] else ",".join(chosen)
 
 
 def all_digits(name: Column) -> Column:

@@ -45,5 +45,15 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def stat_rows(long: DataFrame, stat: str) -> DataFrame:
-    return long.filter(F.col("stat") == stat)
+def stat_rows(
+    cases: DataFrame, stat: str, keys: Sequence[str] = ("country", "month"), kind: str = "long"
+) -> DataFrame:
+    """Keys, stat and value of one stat, from long rows or from a wide table.
+
+    From a wide table only that column is read; nothing is unpivoted.
+    """
+    if "stat" in cases.columns:
+        return cases.filter(F.col("stat") == stat)
+    return cases.select(
+        *[named(k) for k in keys], F.lit(stat).alias("stat"), named(stat).cast(kind).alias("value")
+    )

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyflow.functions.columns import named
 from tallyflow.functions.text import areas_label
-from tallyflow.operators.filters import among, renamed_areas, with_values
+from tallyflow.operators.filters import (
+    among,
+    plausible_areas,
+    renamed_areas,
+    valid_days,
+    with_values,
+)
 from tallyflow.operators.lookups import place_table
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals, area_months
@@ -17,10 +23,10 @@ from tallyflow.plans.flows import COMPLETE, count_flows, flow_order, map_flows,
 from tallyflow.plans.quality_report import flow_report, snapshot_report, unmatched_names
 from tallyflow.plans.snapshots import days_from_totals
 from tallyflow.schemas import AREA_ALIASES, SnapshotSpec
-from tallyflow.session import staged
+from tallyflow.session import drop_path, stage_path, staged
 from tallyflow.sources import readers
 from tallyflow.sources.batches import period_parts
-from tallyflow.sources.sinks import write_batch
+from tallyflow.sources.sinks import partition_path, write_batch, write_csv
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,8 @@ def run_batch(
     period: str = "*",
     areas: Iterable[str] | None = None,
     spec: SnapshotSpec = SnapshotSpec(),
+    aliases: Mapping[str, str] = AREA_ALIASES,
+    csv: str | None = None,
 ) -> dict[str, str]:
     """Runs a batch and returns the path of each dataset written.
 
@@ -47,7 +55,28 @@ def run_batch(
     and areas, or months and pairs of countries. Results and quality lines
     come from those. ``cases`` always holds all areas, and the chosen ones in a
     partition of their own; ``flows`` counts flows into the chosen areas.
+    ``aliases`` gives the names of areas in the codes table where they differ.
+    ``csv`` is a folder for the same results as CSV. Stages are kept below
+    ``out`` while the run lasts.
     """
+    stages = stage_path(spark, "_stages", out)
+    try:
+        return _run_batch(spark, inputs, out, period, areas, spec, aliases, csv, stages)
+    finally:
+        drop_path(spark, stages)
+
+
+def _run_batch(
+    spark: SparkSession,
+    inputs: BatchInputs,
+    out: str,
+    period: str,
+    areas: Iterable[str] | None,
+    spec: SnapshotSpec,
+    aliases: Mapping[str, str],
+    csv: str | None,
+    stages: str,
+) -> dict[str, str]:
     period_parts(period)
     chosen = list(areas or [])
     batch = "all" if period == "*" else period
@@ -57,39 +86,38 @@ def run_batch(
     totals = staged(
         area_day_totals(readers.read_reports(spark, inputs.reports, period, rejects=True), spec),
         "totals",
+        stages,
     )
     months = area_months(days_from_totals(totals, spec), spec)
     case_order = [spec.area, "year_month"]
-    write_batch(months, paths["cases"], batch=batch, sort=case_order)
+
+
+    def result(df: DataFrame, name: str, areas: str, sort: list[str]) -> None:
+        write_batch(df, paths[name], batch=batch, areas=areas, sort=sort)
+        if csv is not None:
+            write_csv(df, partition_path(f"{csv.rstrip('/')}/{name}", areas=areas, batch=batch), sort)
+
+    result(months, "cases", "all", case_order)
     if chosen:
-        write_batch(
-            among(months, spec.area, chosen),
-            paths["cases"],
-            batch=batch,
-            areas=label,
-            sort=case_order,
-        )
+        result(among(months, spec.area, chosen), "cases", label, case_order)
 
     facilities = readers.read_facilities(spark, inputs.facilities)
     codes = readers.read_codes(spark, inputs.codes)
-    flows = readers.read_flows(spark, inputs.flows, period)
+    # A gzip file is one task; its rows are spread before the lookups.
+    flows = readers.read_flows(spark, inputs.flows, period).hint("rebalance")
     mapped = map_flows(flows, place_table(facilities, codes), keep_incomplete=True)
-    flow_totals = staged(month_totals(mapped), "flows")
+    flow_totals = staged(month_totals(mapped), "flows", stages)
     counts = count_flows(
         with_values(flow_totals, COMPLETE),
         "destination",
         "year_month",
-        [AREA_ALIASES.get(a, a) for a in chosen],
-    )
-    write_batch(
-        counts,
-        paths["flows"],
-        batch=batch,
-        areas=label,
-        sort=flow_order("destination", "year_month"),
+        [aliases.get(a, a) for a in chosen],
     )
+    result(counts, "flows", label, flow_order("destination", "year_month"))
 
-    areas_seen = months.select(renamed_areas(named(spec.area), AREA_ALIASES).alias("area"))
+    # The areas of the results, without their aggregates and windows.
+    kept = plausible_areas(valid_days(totals, "date", spec), spec.area)
+    areas_seen = kept.select(renamed_areas(named(spec.area), dict(aliases)).alias("area")).distinct()
     lines = union_by_name(
         [
             snapshot_report(totals, spec),

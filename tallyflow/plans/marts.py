@@ -49,9 +49,9 @@ def monthly_cases(
     return changed.withColumnsRenamed({"year_month": "month", spec.area: "country"})
 
 
-def pair_flows(rows: DataFrame) -> DataFrame:
+def pair_flows(rows: DataFrame, combine: str = "sum") -> DataFrame:
     """Flow counts of all batches per month and pair of countries."""
-    merged = total_by(rows, PAIR_KEYS, ["flight_count"])
+    merged = recombined(rows, PAIR_KEYS, ["flight_count"], combine)
     return merged.withColumnsRenamed({"year_month": "month", "destination_country": "end_country"})
 
 
@@ -93,15 +93,22 @@ def marts(
     flows: DataFrame,
     area: str = "US",
     spec: SnapshotSpec = SnapshotSpec(),
+    combine: str = "sum",
 ) -> dict[str, DataFrame]:
-    """Five tables from the monthly rows of all batches; lazy throughout."""
-    all_cases, one_area = monthly_cases(cases, spec), monthly_cases(focus_cases, spec)
-    pairs = pair_flows(flows)
+    """Six tables from the monthly rows of all batches; lazy throughout.
+
+    ``combine`` says what two batches with the same month mean: parts of it to
+    add up (``sum``), or the same rows twice, of which the larger counts (``max``).
+    """
+    all_cases = monthly_cases(cases, spec, combine)
+    one_area = monthly_cases(focus_cases, spec, combine)
+    pairs = pair_flows(flows, combine)
     ends = destination_flows(pairs)
     keys = ["country", "month"]
     return {
         "focus_with_flows": cases_with_flows(one_area, ends, area),
         "destination_flows": ends,
+        "monthly_cases": all_cases,
         "cases_long": long_stats(all_cases, keys, spec.month_stats),
         "focus_cases_long": long_stats(one_area, keys, spec.month_stats),
         "pair_flows": pairs,
@@ -114,28 +121,40 @@ def marts_from_csv(
     focus_cases: str | Sequence[str],
     flows: str | Sequence[str],
     area: str = "US",
+    combine: str = "sum",
 ) -> dict[str, DataFrame]:
-    """From monthly CSV files; each argument is a glob, a URI or a list."""
+    """From monthly CSV files; each argument is a glob, a URI or a list.
+
+    Which period a file covers is not known here, so files of overlapping
+    batches need ``combine="max"``.
+    """
     return marts(
         readers.read_monthly_cases(spark, cases),
         readers.read_monthly_cases(spark, focus_cases),
         readers.read_flow_counts(spark, flows),
         area,
+        combine=combine,
     )
 
 
 def marts_from_results(
-    spark: SparkSession, out: str, area: str = "US", spec: SnapshotSpec = SnapshotSpec()
+    spark: SparkSession,
+    out: str,
+    area: str = "US",
+    spec: SnapshotSpec = SnapshotSpec(),
+    combine: str = "sum",
 ) -> dict[str, DataFrame]:
     """From the datasets of a batch run that had ``area`` as its only choice.
 
     Batches and area lists are partitions here, so a list that merely ends in
-    the same name, or a batch written twice, cannot slip in.
+    the same name cannot slip in. A batch inside the period of another one, such
+    as 202101 beside 2021 or beside all, is left out: its files were in the
+    other's run too.
     """
 
     def partition(name: str, columns: T.StructType, areas: str) -> DataFrame:
         rows = readers.read_partitioned(spark, f"{out}/{name}", columns, RESULT_PARTITIONS)
-        return rows.filter(F.col("areas") == areas)
+        return widest_batches(rows.filter(F.col("areas") == areas))
 
     keys = T.StructType().add("year_month", "string").add(spec.area, "string")
     case_columns = reduce(lambda s, c: s.add(c, "long"), spec.month_stats, keys)
@@ -147,7 +166,22 @@ def marts_from_results(
         partition("flows", flow_columns, chosen),
         area,
         spec,
+        combine,
+    )
+
+
+def widest_batches(rows: DataFrame) -> DataFrame:
+    """Rows of batches that lie in no other batch's period.
+
+    Reads the partition values alone for the list of batches, which has a row
+    for each run.
+    """
+    batches = rows.select(F.col("batch").alias("wider")).distinct()
+    inside = (F.col("batch") != F.col("wider")) & (
+        (F.col("wider") == "all") | F.col("batch").startswith(F.col("wider"))
     )
+    within = rows.select("batch").distinct().join(batches, inside).select("batch").distinct()
+    return rows.join(within, "batch", "left_anti")
 
 
 def series_marts(

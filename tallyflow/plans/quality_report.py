@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.functions.calendar import day_text
 from tallyflow.operators.lookups import repeated_keys, unmatched
-from tallyflow.operators.quality import day_audit, null_profile, report_lines
+from tallyflow.operators.quality import abnormal_sample, day_audit, null_profile, report_lines
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import REJECTS, ROWS
 from tallyflow.plans.flows import WEIGHT
@@ -24,10 +25,22 @@ def snapshot_report(totals: DataFrame, spec: SnapshotSpec) -> DataFrame:
             report_lines(totals.agg(F.coalesce(F.sum(REJECTS), F.lit(0)).alias(REJECTS)), "scan"),
             report_lines(day_audit(totals, "date", spec, weight=ROWS), "reports"),
             report_lines(null_profile(days_from_totals(totals, spec)), "area_day_nulls"),
+            abnormal_lines(totals, spec),
         ]
     )
 
 
+def abnormal_lines(totals: DataFrame, spec: SnapshotSpec, n: int = 10) -> DataFrame:
+    """The first ``n`` days and areas out of the years, with their number of reports."""
+    counted = totals.filter(F.col(ROWS) > 0)
+    sample = abnormal_sample(counted, "date", spec, ["date", spec.area], n)
+    return sample.select(
+        F.lit("abnormal_day").alias("section"),
+        F.concat_ws(" ", F.coalesce(day_text(F.col("date")), F.lit("no day")), F.col(spec.area)).alias("metric"),
+        F.col(ROWS).cast("double").alias("value"),
+    )
+
+
 def flow_report(mapped: DataFrame, facilities: DataFrame) -> DataFrame:
     """Lines for mapped flows, incomplete ones included, and the facilities."""
     weight = WEIGHT if WEIGHT in mapped.columns else None

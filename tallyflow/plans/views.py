@@ -48,27 +48,30 @@ def origin_flows(pairs: DataFrame, start: str, end: str) -> DataFrame:
     return total_in_range(pairs, "origin_country", "flight_count", start, end)
 
 
-def country_peaks(cases_long: DataFrame, start: str, end: str) -> DataFrame:
-    """Largest number of new cases in a month of the range, per country."""
-    return peak_in_range(stat_rows(cases_long, PEAK_STAT), "country", "value", start, end)
+def country_peaks(cases: DataFrame, start: str, end: str) -> DataFrame:
+    """Largest number of new cases in a month of the range, per country.
+
+    ``cases`` is the table of a row per month and country, or its long form.
+    """
+    return peak_in_range(stat_rows(cases, PEAK_STAT), "country", "value", start, end)
 
 
-def map_scales(pairs: DataFrame, cases_long: DataFrame) -> DataFrame:
+def map_scales(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     """One row: the largest flow total and the largest peak over all months.
 
     They cover all months, so they stay the same as the range moves.
     """
     flow_scale = largest_total(pairs, "origin_country", "flight_count", "max_flights")
-    case_scale = largest_value(stat_rows(cases_long, PEAK_STAT), "value", "max_cases")
+    case_scale = largest_value(stat_rows(cases, PEAK_STAT), "value", "max_cases")
     return union_by_name([flow_scale, case_scale]).agg(
         F.max("max_flights").alias("max_flights"), F.max("max_cases").alias("max_cases")
     )
 
 
-def map_views(pairs: DataFrame, cases_long: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
+def map_views(pairs: DataFrame, cases: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
     """Everything a pair of maps shows for a range."""
     return {
         "flows": origin_flows(pairs, start, end),
-        "peaks": country_peaks(cases_long, start, end),
-        "scales": map_scales(pairs, cases_long),
+        "peaks": country_peaks(cases, start, end),
+        "scales": map_scales(pairs, cases),
     }

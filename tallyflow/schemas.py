@@ -14,6 +14,11 @@ DAILY_REPORT = """
     Confirmed INT, Deaths INT, Recovered INT, Active INT,
     Combined_Key STRING, Incident_Rate FLOAT, Case_Fatality_Ratio FLOAT
 """
+DAILY_REPORT_12 = """
+    FIPS STRING, Admin2 STRING, Province_State STRING, Country_Region STRING,
+    Last_Update TIMESTAMP, Lat FLOAT, Long_ FLOAT,
+    Confirmed INT, Deaths INT, Recovered INT, Active INT, Combined_Key STRING
+"""
 FACILITY_COLUMNS = ("icao", "country")
 CODE_NAME_COLUMN = "English short name lower case"
 CODE_COLUMN = "Alpha-2 code"
@@ -38,8 +43,12 @@ AREA_ALIASES = {"US": "United States"}
 DEFAULT_RANGE_END = "2020-08"
 # End of the fixed values.
 
-# Name of the column that holds the text of a malformed row.
+# Name of the column that holds the text of a malformed row, and of the one
+# that holds the number of fields of the layout a row was read with.
 REJECTED = "_rejected_line"
+LAYOUT = "_layout"
+# Name of the column with the file that a row came from.
+SOURCE = "_source_file"
 
 
 @dataclass(frozen=True)

@@ -38,27 +38,42 @@ def build_session(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, as named by ``spark.checkpoint.dir``."""
+    """The folder all executors reach, as named by ``spark.checkpoint.dir``.
+
+    Only a local session may do without: its executor is the driver's process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        require_local(spark.sparkContext.master)
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyflow-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, never used before."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def require_local(master: str) -> None:
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"name a shared folder in spark.checkpoint.dir for {master}")
+
+
+def stage_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A new path in the shared folder or in ``folder``, never used before."""
+    return f"{(folder or shared_folder(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of stages on whatever storage it is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
+def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder, or to ``folder``, and reads it back.
 
     What follows starts from the written table: its input is scanned once,
     and a lost executor costs no second scan.
     """
     spark = df.sparkSession
-    path = stage_path(spark, label)
+    path = stage_path(spark, label, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

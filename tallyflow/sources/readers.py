@@ -1,7 +1,7 @@
 """Readers with declared schemas.
 
-Nothing here infers a schema, so no reader passes over the data before the
-query runs.
+No schema is inferred from values. Readers of text columns look at the header
+of one file when the frame is made; the others open no file before the query.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tallyflow import schemas
 from tallyflow.functions.columns import named
-from tallyflow.schemas import REJECTED
+from tallyflow.schemas import LAYOUT, REJECTED, SOURCE
 from tallyflow.sources.batches import flow_glob, report_glob
 
 
@@ -60,19 +60,58 @@ def read_reports(
 ) -> DataFrame:
     """Daily reports of a period, without malformed rows or with ``rejects``.
 
-    Files of another layout have another number of fields, so their rows are
-    all malformed. A bad value drops its row only when the column is used.
+    Files of spring 2020 end after twelve fields and agree with ours up to
+    there. Such a row is malformed at first, and its line is then parsed under
+    the shorter layout in the same scan. Rows of other layouts stay rejected.
+    A bad value drops its row only when the column is used.
     """
     path = f"{folder}/{report_glob(period)}"
-    if rejects:
-        return read_with_rejects(spark, path, schemas.DAILY_REPORT, missing_ok=True)
-    return read_declared(
-        spark,
-        path,
-        schemas.DAILY_REPORT,
-        mode="DROPMALFORMED",
-        whole_rows=True,
-        missing_ok=True,
+    rows = read_with_rejects(spark, path, schemas.DAILY_REPORT, missing_ok=True)
+    rows = rows.withColumn(SOURCE, F.input_file_name())
+    rows = with_second_layout(rows, schemas.DAILY_REPORT_12)
+    return rows if rejects else kept_rows(rows)
+
+
+def with_second_layout(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows of :func:`read_with_rejects`, rejected lines read again under ``schema``.
+
+    ``_layout`` tells the number of fields a row was read with, 0 if rejected.
+    """
+    again, bad = "_again", "_bad_again"
+    shorter = T.StructType.fromDDL(schema)
+    options = {
+        "mode": "PERMISSIVE",
+        "timeZone": "UTC",
+        "columnPruning": "false",
+        "columnNameOfCorruptRecord": bad,
+    }
+    parsed = F.from_csv(named(REJECTED), f"{schema}, {bad} STRING", options)
+    rows = rows.withColumn(again, F.when(named(REJECTED).isNotNull(), parsed))
+    columns = [c for c in rows.columns if c not in (REJECTED, SOURCE, again)]
+    # A line may be NULL as a whole where a value of an unread column is bad.
+    second = named(REJECTED).isNotNull() & F.col(again)[bad].isNull()
+    return rows.select(
+        *[
+            F.when(second, F.col(again)[c] if c in shorter.names else F.lit(None))
+            .otherwise(named(c))
+            .cast(rows.schema[c].dataType)
+            .alias(c)
+            for c in columns
+        ],
+        F.when(~second, named(REJECTED)).alias(REJECTED),
+        F.when(second, len(shorter)).when(named(REJECTED).isNull(), len(columns)).otherwise(0).alias(LAYOUT),
+        *[c for c in rows.columns if c == SOURCE],
+    )
+
+
+def layout_profile(rows: DataFrame, source: str = SOURCE) -> DataFrame:
+    """Number of rows per file and layout; a file that is rejected whole shows up.
+
+    ``dated_rows`` are accepted ones with a readable day.
+    """
+    dated = (F.col(LAYOUT) > 0) & F.col("Last_Update").isNotNull()
+    return rows.groupBy(named(source), LAYOUT).agg(
+        F.count("*").alias("report_rows"), F.count_if(dated).alias("dated_rows")
     )
 
 
@@ -101,7 +140,7 @@ def read_with_rejects(
 
 def kept_rows(rows: DataFrame) -> DataFrame:
     """The well-formed rows of :func:`read_with_rejects`."""
-    return rows.filter(named(REJECTED).isNull()).drop(REJECTED)
+    return rows.filter(named(REJECTED).isNull()).drop(REJECTED, LAYOUT, SOURCE)
 
 
 def scan_profile(rows: DataFrame) -> DataFrame:
@@ -145,6 +184,21 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def alias_table(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of names, ``area`` and ``known_as``, from the first two columns of a CSV file."""
+    rows = read_text_columns(spark, path)
+    area, known_as = rows.columns[:2]
+    return rows.select(named(area).alias("area"), named(known_as).alias("known_as"))
+
+
+def read_aliases(spark: SparkSession, path: str, most: int = 10_000) -> dict[str, str]:
+    """The same for the driver, where chosen areas are named; an error beyond ``most`` pairs."""
+    pairs = alias_table(spark, path).dropna().limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} aliases")
+    return {r["area"]: r["known_as"] for r in pairs}
+
+
 def read_flows(spark: SparkSession, folder: str, period: str = "*") -> DataFrame:
     """Flow files of a period, narrowed to the three used columns.
 

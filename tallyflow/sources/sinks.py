@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,18 @@ def write_batch(
 ) -> None:
     """Writes a result as the partition ``areas=.../batch=...`` of a dataset.
 
-    A rerun of the same batch replaces its own partition and no other.
+    A rerun of the same batch replaces its own partition and no other, also if
+    it has no rows. Batches are written to directories of their own, so two of
+    them can run at once.
     """
     if sort:
         df = df.orderBy(*sort)
-    (
-        df.withColumns({"areas": F.lit(areas), "batch": F.lit(batch)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RESULT_PARTITIONS)
-        .parquet(path)
-    )
+    df.write.mode("overwrite").parquet(partition_path(path, areas=areas, batch=batch))
+
+
+def partition_path(path: str, **values: str) -> str:
+    """Directory of a partition, with values escaped as Spark reads them."""
+    return "/".join([path.rstrip("/"), *(f"{k}={quote(v, safe=' ')}" for k, v in values.items())])
 
 
 def write_csv(df: DataFrame, path: str, sort: Sequence[str] = ()) -> None:

@@ -8,16 +8,19 @@ of other periods, and without a watermark those still reach their day.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.functions.calendar import utc_day
 from tallyflow.functions.columns import named
 
-BATCH = "batch_id"
+WHOLE, STARTED, BATCH = "whole", "started", "batch_id"
 
 
 def daily_counts(
@@ -42,30 +45,78 @@ def daily_counts(
     )
 
 
-def keep_updated(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def keep_updated(
+    counts: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = (),
+    compact_every: int = 0,
+    trigger: dict[str, object] | None = None,
+) -> StreamingQuery:
     """Writes the changed counts of each micro-batch below ``path``.
 
-    A micro-batch that is run again replaces its own directory, so a failure
-    between writing and committing leaves no double.
+    A micro-batch that is run again replaces its own directory, or after a restart
+    counts instead of it, so a failure between writing and committing leaves no
+    double. Directories carry the time of the query's start: with a lost checkpoint
+    a new query numbers its micro-batches from 0, and the later query counts.
+    Every ``compact_every`` micro-batches the newest value of each of ``keys`` so
+    far is written as one of them, and older ones need not be read any more.
+    ``trigger`` is handed to Spark; without one, all there is gets processed.
     """
+    spark, started = counts.sparkSession, f"{time.time_ns():020d}"
 
     def save(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        whole = bool(compact_every) and batch_id % compact_every == compact_every - 1
+        if whole and batch_id:
+            columns = changed.columns
+            value = next(c for c in columns if c not in keys)
+            order = F.lit(batch_id)
+            older = latest_rows(spark, path, changed).filter((F.col(STARTED) != started) | (F.col(BATCH) < order))
+            newest = older.select(*columns, STARTED, BATCH).unionByName(
+                changed.withColumns({STARTED: F.lit(started), BATCH: order.cast("long")})
+            )
+            changed = newest_values(newest, keys, value)
+        changed.write.mode("overwrite").parquet(
+            f"{path}/{WHOLE}={str(whole).lower()}/{STARTED}={started}/{BATCH}={batch_id}"
+        )
 
     return (
         counts.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(save)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def latest_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Changes since the newest whole table below ``path``, that table included."""
+    parts = T.StructType([f for f in like.schema.fields if f.name not in (WHOLE, STARTED, BATCH)])
+    schema = parts.add(WHOLE, "boolean").add(STARTED, "string").add(BATCH, "long")
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    at = F.struct(STARTED, BATCH)
+    # One row from directory names; what is older is then not read at all.
+    newest = rows.filter(WHOLE).select(at.alias("at")).agg(F.max("at").alias("at")).first()["at"]
+    if newest is None:
+        return rows
+    same = (F.col(STARTED) == newest[STARTED]) & (F.col(BATCH) >= newest[BATCH])
+    return rows.filter((F.col(STARTED) > newest[STARTED]) | same)
+
+
+def newest_values(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return rows.groupBy(*[named(k) for k in keys]).agg(
+        F.max_by(named(value), F.struct(STARTED, BATCH)).alias(value)
+    )
+
+
 def latest_counts(
     spark: SparkSession, path: str, keys: Sequence[str], value: str = "n"
 ) -> DataFrame:
     """The newest value of each key among all micro-batches."""
-    changes = spark.read.parquet(path)
-    return changes.groupBy(*[named(k) for k in keys]).agg(
-        F.max_by(named(value), F.col(BATCH)).alias(value)
-    )
+    changes = spark.read.parquet(path).drop(WHOLE, STARTED, BATCH)
+    return newest_values(latest_rows(spark, path, changes), keys, value)

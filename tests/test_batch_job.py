@@ -136,7 +136,7 @@ def test_raw_files_are_scanned_once(spark, inputs, tmp_path, monkeypatch):
 
     scans = []
     real = batch_job.staged
-    monkeypatch.setattr(batch_job, "staged", lambda df, label: scans.append(df) or real(df, label))
+    monkeypatch.setattr(batch_job, "staged", lambda df, *at: scans.append(df) or real(df, *at))
     run_batch(spark, inputs, str(tmp_path / "out"), "2021", ["US"])
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in scans]
     assert plans[0].count("Relation [") == 1

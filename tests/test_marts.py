@@ -352,4 +352,6 @@ def test_aliases_and_labels(spark):
     assert [r[0] for r in renamed.collect()] == ["United States", "France", None]
     assert rows(df.select(renamed_areas(F.col("n"), {}))) == rows(df)
     assert areas_label(None) == areas_label([]) == "all"
-    assert areas_label(["United States", "*"]) == "United_States__all"
+    assert areas_label(["b", "a"]) == areas_label(["a", "b", "a"]) == "a,b"
+    lists = [["a b"], ["a_b"], ["x__y"], ["x", "y"], ["x,y"], ["all"], ["*"], ["a", "b"], [], ["x%2Cy"]]
+    assert len({areas_label(names) for names in lists}) == len(lists)

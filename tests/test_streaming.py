@@ -58,3 +58,26 @@ def test_flows_of_a_stream_use_the_batch_operators(spark, write, tmp_path):
     keys = [c for c in counts.columns if c != "flight_count"]
     latest = latest_counts(spark, out, keys, "flight_count")
     assert rows(latest, "year_month", "origin_country", "flight_count") == [("2021-01", "France", 2)]
+
+
+def test_compaction_and_a_lost_checkpoint(spark, write, tmp_path):
+    out = f"{tmp_path}/out"
+
+    def run(checkpoint):
+        counts = daily_counts(read(spark, tmp_path), "ts", ["kind"])
+        query = keep_updated(
+            counts, out, checkpoint, ["day", "kind"], compact_every=2, trigger={"availableNow": True}
+        )
+        query.awaitTermination()
+        return rows(latest_counts(spark, out, ["day", "kind"]))
+
+    day = dt.date(2021, 1, 1)
+    want = []
+    for n, name in enumerate("abc", start=1):
+        feed(write, name, "2021-01-01 10:00:00,x", f"2021-01-01 10:00:00,only {name}")
+        want.append((day, f"only {name}", 1))
+        assert run(f"{tmp_path}/checkpoint") == [*want, (day, "x", n)]
+    assert spark.read.parquet(out).filter("whole = 'true'").count() > 0
+    # A new query counts from the start, and its numbers replace the old ones.
+    feed(write, "d", "2021-01-01 10:00:00,x")
+    assert run(f"{tmp_path}/other") == [*want, (day, "x", 4)]
