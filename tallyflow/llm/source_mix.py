@@ -33,6 +33,7 @@ from tallyflow.session import staged
 
 WEIGHTS = (1, 2, 3)
 FAN_IN = 64
+COIN = float(1 << 20)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -71,17 +72,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 def settle(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Pivotal rounding of ``part`` (0 to 1) along the rows; at most one stays open.
 
+    ``draws`` has a number for each row, whose high and low bits are two coins for
+    the two trades that its step may hold; no coin decides twice.
+
     Words are conserved: what one document loses in words the other gains. A
     document more than twice as large as the next would outlast one small partner
     after another, so it trades with all that follow as one bundle.
     """
     part = part.copy()
+    low, high = np.modf(draws * COIN)
+    high /= COIN
     held = -1
     for i in range(len(part)):
         if not 0.0 < part[i] < 1.0:
             continue
         if held >= 0 and size[held] > 2 * size[i]:
-            trade_with_rest(size, part, held, i, draws[held])
+            trade_with_rest(size, part, held, i, low[i])
             if not 0.0 < part[held] < 1.0:
                 held = -1
             if not 0.0 < part[i] < 1.0:
@@ -93,7 +99,7 @@ def settle(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> np.ndarray:
         wa, wb = size[a], size[b]
         up = min((1 - part[a]) * wa, part[b] * wb)  # words that a can take from b
         down = min(part[a] * wa, (1 - part[b]) * wb)
-        if draws[i] * (up + down) < down:
+        if high[i] * (up + down) < down:
             moved, full, empty = up, (1 - part[a]) * wa <= part[b] * wb, part[b] * wb <= (1 - part[a]) * wa
             part[a] = 1.0 if full else part[a] + moved / wa
             part[b] = 0.0 if empty else part[b] - moved / wb
@@ -149,22 +155,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.col("copies") - F.col("whole"))
         .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
-        .withColumn("coin", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40))
+        .withColumn("coin", F.lit(0.0))
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.ceil(F.col("source_rows") / chunk_rows)))
         .drop("copies", "source_rows")
     )
+
+    def tossed(df: DataFrame, turn: int) -> DataFrame:
+        """New coins for every level of the tree."""
+        value = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(turn), "doc_id", "size"), F.lit(1 << 40))
+        return df.withColumn("coin", value / float(1 << 40))
+
+    turn = 0
     open_part = (F.col("part") > 0) & (F.col("part") < 1)
     schema = rows.schema
-    level = staged(rows.groupBy("name", "chunk").applyInPandas(settle_chunk, schema), "mix-chunks")
+    level = staged(tossed(rows, turn).groupBy("name", "chunk").applyInPandas(settle_chunk, schema), "mix-chunks")
     closed = [level.filter(~open_part)]
     left = level.filter(open_part)
     while chunks > 1:
-        chunks = -(-chunks // FAN_IN)
-        met = left.withColumn("chunk", F.floor(F.col("chunk") / FAN_IN)).groupBy("name", "chunk").applyInPandas(settle_chunk, schema)
+        chunks, turn = -(-chunks // FAN_IN), turn + 1
+        met = tossed(left, turn).withColumn("chunk", F.floor(F.col("chunk") / FAN_IN)).groupBy("name", "chunk").applyInPandas(settle_chunk, schema)
         level = staged(met, "mix-residuals")
         closed.append(level.filter(~open_part))
         left = level.filter(open_part)
-    closed.append(left.withColumn("part", (F.col("coin") < F.col("part")).cast("double")))
+    closed.append(tossed(left, turn + 1).withColumn("part", (F.col("coin") < F.col("part")).cast("double")))
     done = closed[0]
     for more in closed[1:]:
         done = done.unionByName(more)
