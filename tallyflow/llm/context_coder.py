@@ -19,7 +19,7 @@ import numpy as np
 TOP, LOW_END = np.uint64(48), np.uint64(1 << 32)
 MASK = np.uint64((1 << 48) - 1)
 CHANCE_BITS, HIGH_BITS = 12, 4
-SLOTS = (1, 1 << 11, 1 << 12)  # by order
+SLOTS = (1, 1 << 10, 1 << 10)  # by order
 U = np.uint64
 
 

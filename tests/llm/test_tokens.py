@@ -91,6 +91,16 @@ def test_files_of_odd_texts(spark, table, odd_rows, monkeypatch):
     assert got == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" .,'Aa1\u0301\u0307Iı\n<|")), max_size=40))
+def test_words_have_the_ids_of_the_whole_text(text):
+    text += " It's. so, <|endoftext|> A.\u0301 b.. c.,d"
+    words = token_files.tokenizer(WORDS)
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    for t, ids in ((text, want), (text.replace("<|", ""), words.tokenizer.encode(text.replace("<|", ""), add_special_tokens=False).ids)):
+        assert words.encode([t.encode()], 2)[0].tolist() == ids + [2]
+
+
 def test_files_of_no_documents(spark, table):
     path = stage_path(spark, "test-token-files")
     token_files.write(table([(1, "x", "s")]).filter("false"), path, WORDS)
