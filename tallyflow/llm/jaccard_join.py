@@ -52,6 +52,7 @@ PIECES = 4
 # Documents in a chunk of a large block, and frequent shingles counted at a time.
 CHUNK = 768
 FRAGMENT = 1024
+PAIRS_AT_ONCE = 1 << 19
 
 
 def shingle_sets(column: pa.Array, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +135,7 @@ def bucketed(rows: np.ndarray, tokens: np.ndarray, often: np.ndarray, buckets: i
 def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Cuts documents along the fragments. Parts from 2 ** bits on are buckets of documents."""
     fragments = 1 << bits
-    for whole in slices(batches, 8 << 20):
+    for whole in slices(batches, 3 << 20):
         for at in range(0, whole.num_rows, 1 << 16):
             batch = whole.slice(at, 1 << 16)
             key = batch["doc_id"].type
@@ -396,10 +397,13 @@ def overlaps(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
     spans = np.diff(np.append(starts, len(tokens)))
     for f in np.unique(spans[(spans > 1) & (spans < FREQUENT)]).tolist():
-        group = owner[starts[spans == f][:, None] + np.arange(f)]
+        places = starts[spans == f]
         i, j = np.triu_indices(f, 1)
-        found, count = np.unique(group[:, i].ravel() * n + group[:, j].ravel(), return_counts=True)
-        total.ravel()[found] += count
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for at in range(0, len(places), step):
+            group = owner[places[at : at + step, None] + np.arange(f)]
+            found, count = np.unique(group[:, i].ravel() * n + group[:, j].ravel(), return_counts=True)
+            total.ravel()[found] += count
     often = np.flatnonzero(spans >= FREQUENT)
     for at in range(0, len(often), FRAGMENT):
         part = often[at : at + FRAGMENT]
