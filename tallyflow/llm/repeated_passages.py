@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import Words, rolled, slices, text_bytes
+from tallyflow.llm.common import Words, release, rolled, slices, text_bytes
 from tallyflow.session import staged
 
 BASE, LENGTH = 5, 20
@@ -283,6 +283,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             .mapInArrow(absorb(last), "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, marks binary"),
             "repeats",
         )
+        release(docs.sparkSession)
         results.append(done.filter(F.col("n_words").isNotNull()).select("doc_id", "n_words", "n_removed", "kept_sha256"))
         numbered = done.filter(F.col("n_words").isNull()).select("row", "doc_id", "text", "marks")
         if last or numbered.isEmpty():
