@@ -47,11 +47,13 @@ from tallyflow.plans.snapshots import area_day_table, area_month_table
 from tallyflow.plans.views import (
     country_peaks,
     map_scales,
+    opening_range,
     origin_flows,
+    series_map_views,
     stat_correlation,
     time_series,
 )
-from tallyflow.session import stage_path
+from tallyflow.session import stage_path, staged
 from tallyflow.sources.readers import (
     read_aliases,
     read_end_flows,
@@ -185,8 +187,8 @@ def long_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("day", day_text(F.col("day")))
 
 
-def wide_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wide CSV series and flows with numbered months, joined for one area."""
+def wide_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Marts of a wide CSV series and of flows with numbered months."""
     path = stage_path(spark, "wide-series")
     wide = wide_orders(spark, sf_dir).withColumnRenamed("area", schemas.WIDE_SERIES_AREA)
     write_csv(
@@ -200,10 +202,20 @@ def wide_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flow_path = stage_path(spark, "end-flows")
     write_csv(arrivals, flow_path)
-    tables = series_marts(
-        read_wide_series(spark, path), read_end_flows(spark, flow_path), FOCUS
-    )
-    return tables["focus_with_flows"]
+    return series_marts(read_wide_series(spark, path), read_end_flows(spark, flow_path), FOCUS)
+
+
+def wide_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both joined for one area."""
+    return wide_tables(spark, sf_dir)["focus_with_flows"]
+
+
+def wide_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows by destination and peaks by area, in a range."""
+    views = series_map_views(wide_tables(spark, sf_dir), START, END)
+    flows_map = views["flows"].select(F.lit("flows").alias("map"), F.col("end_country").alias("country"), F.col("flights").alias("value"))
+    peaks_map = views["peaks"].select(F.lit("peaks").alias("map"), F.col(schemas.WIDE_SERIES_AREA).alias("country"), F.col("Confirmed").alias("value"))
+    return flows_map.unionByName(peaks_map)
 
 
 def month_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +266,9 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default range with a cut that is present, and with none."""
-    domain = pairs(spark, sf_dir)
+    domain = staged(month_domain(pairs(spark, sf_dir)), "months")
     cut = default_range(domain, "1998-08").withColumn("cut", F.lit("1998-08"))
-    absent = default_range(domain, "2020-08").withColumn("cut", F.lit("2020-08"))
+    absent = opening_range(domain).withColumn("cut", F.lit(schemas.DEFAULT_RANGE_END))
     return cut.unionByName(absent)
 
 
@@ -446,6 +458,7 @@ QUERIES = {
     "stat_rows_labelled": labelled_stat,
     "unpivot_wide_dates": long_orders,
     "wide_series_marts": wide_marts,
+    "wide_series_maps": wide_maps,
     "month_grouper_sum": month_sums,
     "month_grouper_max": month_peaks,
     "time_series_range": series_in_range,
@@ -549,6 +562,15 @@ SQL = {
             GROUP BY 1, 2) AS c
         LEFT JOIN {ARRIVALS} ON c.month = arrivals.month AND country = end_country"""
     ),
+    "wide_series_maps": sql(
+        f"""SELECT 'flows' AS map, destination_country AS country, CAST(sum(flight_count) AS BIGINT) AS value
+        FROM flow_counts WHERE year_month BETWEEN '{START}' AND '{END}' GROUP BY 1, 2
+        UNION ALL
+        SELECT 'peaks', area, max(price) FROM (
+            SELECT area, strftime(day, '%Y-%m') AS month, CAST(sum(price) AS BIGINT) AS price
+            FROM orders_by_nation GROUP BY 1, 2) AS m
+        WHERE {RANGE} GROUP BY 1, 2"""
+    ),
     "month_grouper_sum": sql(
         """SELECT area, strftime(day, '%Y-%m') AS month, CAST(sum(price) AS BIGINT) AS price
         FROM orders_by_nation GROUP BY 1, 2"""

@@ -11,12 +11,13 @@ from tallyflow.operators.filters import months_between, require_one_of
 from tallyflow.operators.reshape import stat_rows, union_by_name
 from tallyflow.operators.rollups import (
     correlation,
+    default_range,
     largest_total,
     largest_value,
     peak_in_range,
     total_in_range,
 )
-from tallyflow.schemas import SnapshotSpec
+from tallyflow.schemas import DEFAULT_RANGE_END, SnapshotSpec
 
 PEAK_STAT = "Confirmed_monthly_new"
 
@@ -56,6 +57,20 @@ def country_peaks(cases: DataFrame, start: str, end: str) -> DataFrame:
     return peak_in_range(stat_rows(cases, PEAK_STAT), "country", "value", start, end)
 
 
+def series_map_views(marts: dict[str, DataFrame], start: str, end: str) -> dict[str, DataFrame]:
+    """The maps over a wide series and flows by destination, as ``series_marts`` makes them."""
+    area = next(c for c in marts["monthly_cases"].columns if c not in ("month", "Confirmed"))
+    return {
+        "flows": total_in_range(marts["destination_flows"], "end_country", "flights", start, end),
+        "peaks": peak_in_range(marts["monthly_cases"], area, "Confirmed", start, end),
+    }
+
+
+def opening_range(df: DataFrame) -> DataFrame:
+    """The range a dashboard opens with: from the first month to the usual end, if it is there."""
+    return default_range(df, DEFAULT_RANGE_END)
+
+
 def map_scales(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     """One row: the largest flow total and the largest peak over all months.
 
