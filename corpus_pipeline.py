@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm import block_naming, byte_pairs, jaccard_join, quality_classifier, source_mix
-from tallyflow.llm.common import read, remainder
+from tallyflow.llm.common import numbered, on_storage, read, remainder
 from tallyflow.session import staged
 
 ROW = "_row_of_this_stage"
 
 
 def by_row(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` joined with decisions on the place of a row, which ``decided`` calls ROW."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(decided, ROW)
+    """``docs`` joined with decisions on the place of a row on storage, which ``decided`` calls ROW."""
+    return numbered(docs, *docs.columns, name=ROW).join(decided, ROW)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +36,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest key."""
+    docs = on_storage(docs)
     kept = block_naming.find_copies(docs).filter("kept").select(F.col("row").alias(ROW))
     return by_row(docs, kept).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by 75 % of common shingles, the one with the smallest key."""
+    docs = on_storage(docs)
     kept = jaccard_join.near_copies(docs).filter("kept").select(F.col("row").alias(ROW))
     return by_row(docs, kept).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it."""
+    docs = on_storage(docs)
     taken = source_mix.mix(docs).filter("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias(f"{ROW}_copies"))
     copies = F.explode(F.array_repeat(F.lit(1), F.col(f"{ROW}_copies").cast("int"))).alias(f"{ROW}_copy")
     return by_row(docs, taken).select(*docs.columns, copies).select(*docs.columns)

@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.session import staged
+
 # Words are what stands between these six bytes: [^\x20\x09-\x0D]+.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 SLICE_BYTES = 4 << 20
 HASHED_BYTES = 1 << 20
+PLACE_BITS = 33
 
 _SEED = np.random.default_rng(20240)
 _BYTE_VALUE = _SEED.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,13 +39,36 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns with ``row``, a number for each row, increasing within a partition.
+def on_storage(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows are picked from Parquet files as they lie there, else a written copy."""
+    plan = docs._jdf.queryExecution().analyzed()
+    settled = plan.deterministic()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if settled and plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet":
+        return docs
+    return staged(docs, "documents")
+
+
+def numbered(docs: DataFrame, *columns: str, name: str = "row") -> DataFrame:
+    """The named columns with ``row``, a number for each row, which ``name`` renames.
 
-    The number stands for the place of a row in its table: reading the same table
-    on storage again, or repeating a lost task, gives the same numbers.
+    The number is the place of a row on storage: its file's place among the sorted
+    files of the table, and its place in the file. It does not depend on how a read
+    is split, so a second read, with more or fewer executors, gives the same numbers.
+    Two calls agree if ``docs`` has been through ``on_storage`` before both.
     """
-    return docs.select(F.monotonically_increasing_id().alias("row"), *columns)
+    docs = on_storage(docs)
+    place = docs.metadataColumn("_metadata")
+    paths = docs.select(place["file_path"].alias("path")).distinct().collect()  # reads no column but those of a filter
+    files = [(path, i) for i, path in enumerate(sorted(r["path"] for r in paths))]
+    known = docs.sparkSession.createDataFrame(files, "_file string, _number long")
+    # A list of files fits any executor; a shuffle instead would move all texts.
+    found = docs.select(place["file_path"].alias("_path"), place["row_index"].alias("_index"), *[F.col(c).alias(f"_of_{c}") for c in columns]).join(
+        F.broadcast(known), F.col("_path") == F.col("_file"), "left"
+    )
+    number = F.coalesce("_number", F.raise_error(F.concat(F.lit("a file that the table does not list: "), "_path")).cast("long"))
+    return found.select((F.shiftleft(number, PLACE_BITS) + F.col("_index")).alias(name), *[F.col(f"_of_{c}").alias(c) for c in columns])
 
 
 def release(spark: SparkSession) -> None:

@@ -132,17 +132,27 @@ def bucketed(rows: np.ndarray, tokens: np.ndarray, often: np.ndarray, buckets: i
     ]
 
 
+def close_rows(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that the numbers of its rows are from the first one's on, by less than ``limit``."""
+    numbers, start = batch["row"].to_numpy(), 0
+    while start < len(numbers):
+        ahead = numbers[start:] - numbers[start]
+        far = np.flatnonzero((ahead < 0) | (ahead >= limit))
+        stop = start + int(far[0]) if len(far) else len(numbers)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Cuts documents along the fragments. Parts from 2 ** bits on are buckets of documents."""
     fragments = 1 << bits
     for whole in slices(batches, 3 << 20):
-        for at in range(0, whole.num_rows, 1 << 16):
-            batch = whole.slice(at, 1 << 16)
+        for batch in close_rows(whole, 1 << 16):
             key = batch["doc_id"].type
             tokens, owner = shingle_sets(batch["text"])
             count = np.bincount(owner, minlength=batch.num_rows)
             numbers = batch["row"].to_numpy()
-            base = int(numbers[0])  # rows of a batch follow each other
+            base, steps = int(numbers[0]), numbers - numbers[0]
             homes = bucket_of(numbers, buckets) + fragments
             yield batch_of(key, list(zip(homes.tolist(), batch["doc_id"].to_pylist(), numbers.tolist(), count.tolist(), [None] * batch.num_rows)))
             new = np.ones(len(tokens), bool)
@@ -151,7 +161,7 @@ def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator
             spans = np.diff(np.append(starts, len(tokens)))
             often = np.repeat(spans >= FREQUENT, spans)
             if often.any():
-                rows, found = owner[often] + base, tokens[often]
+                rows, found = numbers[owner[often]], tokens[often]
                 yield batch_of(key, bucketed(rows, found, np.full(len(rows), FREQUENT, np.uint8), buckets, fragments))
             sent = ~often | new
             weights = np.where(often, FREQUENT, 1).astype(np.uint8)[sent]
@@ -163,7 +173,7 @@ def deal(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
                     order = np.argsort(owner[a:b], kind="stable") + a
-                    rows.append((f, None, None, None, to_fragment(base, owner[order], tokens[order], weights[order])))
+                    rows.append((f, None, None, None, to_fragment(base, steps[owner[order]], tokens[order], weights[order])))
             yield batch_of(key, rows)
 
 

@@ -17,8 +17,8 @@ settled there: only the first of it travels on, so a passage in a third of all
 documents reaches its fragment once per batch. At the last level windows are
 compared by 96 bits of hash.
 
-``docs`` is read twice and must be a table on storage, so that rows keep their
-order; a row that does not match its answers ends the job.
+``docs`` is read twice; rows are known by their place on storage, whatever the
+splits of a read. A row that does not match its answers ends the job.
 
 Defined results: null has no words. Rows with the same doc_id are one document
 for the order of occurrences, and no occurrence is earlier than another with the
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import Words, rolled, slices, text_bytes
+from tallyflow.llm.common import Words, numbered, on_storage, rolled, slices, text_bytes
 from tallyflow.session import staged
 
 BASE, LENGTH = 5, 20
@@ -259,9 +259,8 @@ def without(body: bytes, starts: np.ndarray) -> tuple[int, int, str]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("marks")
-    )
+    docs = on_storage(docs)
+    left = numbered(docs, "doc_id", "text").select("row", F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("marks"))
     size = docs.select(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = max(48, size >> 22)
     results = []
@@ -269,9 +268,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         last = level is level_20
         fragments = max(64, size >> 21)
         home = F.pmod(F.shiftright("row", 33) * 31 + F.col("row").bitwiseAND((1 << 33) - 1), F.lit(buckets))
-        texts = numbered.select(home.cast("long").alias("part"), "row", "doc_id", "text", F.lit(None).cast("binary").alias("marks"))
+        texts = left.select(home.cast("long").alias("part"), "row", "doc_id", "text", F.lit(None).cast("binary").alias("marks"))
         told = (
-            numbered.mapInArrow(deal(level, settle, fragments, buckets), SCHEMA)
+            left.mapInArrow(deal(level, settle, fragments, buckets), SCHEMA)
             .repartition("part")
             .sortWithinPartitions("part")
             .mapInArrow(resolve(settle, fragments, buckets), SCHEMA)
@@ -284,8 +283,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             "repeats",
         )
         results.append(done.filter(F.col("n_words").isNotNull()).select("doc_id", "n_words", "n_removed", "kept_sha256"))
-        numbered = done.filter(F.col("n_words").isNull()).select("row", "doc_id", "text", "marks")
-        if last or numbered.isEmpty():
+        left = done.filter(F.col("n_words").isNull()).select("row", "doc_id", "text", "marks")
+        if last or left.isEmpty():
             break
     out = results[0]
     for more in results[1:]:
