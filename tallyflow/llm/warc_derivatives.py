@@ -31,6 +31,7 @@ HIDDEN = {"script", "style", "noscript", "template", "head"}
 BREAKS = set(
     "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 )
+LONG_NUMBER = re.compile(r"&#([0-9]{1000,})")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 FIELDS = ("record_id", "warc_type", "refers_to", "concurrent_to", "target_uri", "source_date", "source_payload_digest", "block_digest")
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", content_length long, body string, record binary"
@@ -113,6 +114,12 @@ class Page(HTMLParser):
         self.hidden: list[str] = []
         self.in_title = False
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As in HTML, only CDATA is a section; any other, which would raise an error, is a comment up to ``>``."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in HIDDEN and not (tag == "head" and self.hidden):
             self.hidden.append(tag)
@@ -152,10 +159,15 @@ def decoded(payload: bytes, content_type: str) -> str:
     found = CHARSET.search(content_type.encode()) or CHARSET.search(payload[:2048])
     try:
         return payload.decode(found[1].decode() if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # no such encoding, or one that is not for text
         return payload.decode("utf-8", "replace")
 
 
+def shortened(found: re.Match) -> str:
+    """A character number of more digits than Python converts: past all characters, or zeros first."""
+    return "&#" + (found[1].lstrip("0")[:10] or "0")
+
+
 def response_record(key: object, url: str | None, html: str | None, date: str) -> bytes:
     """A response record as a crawler would have written it for a page."""
     payload = (html or "").encode()
@@ -183,7 +195,7 @@ def derivatives(record: bytes) -> list[tuple]:
         return [(None, "rejected", None, None, None, None, None, None, None, str(error), None)]
     page = Page()
     named = {n.lower(): v for n, v in http}
-    page.feed(decoded(payload, named.get("content-type", "")))
+    page.feed(LONG_NUMBER.sub(shortened, decoded(payload, named.get("content-type", ""))))
     page.close()
     text, source_id = page.text(), source.get("warc-record-id", "")
     payload_digest = source.get("warc-payload-digest") or digest(payload)
