@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 HIDDEN = {"script", "style", "noscript", "template", "head"}
+IN_HEAD = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 BREAKS = set(
     "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 )
@@ -104,7 +105,11 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 class Page(HTMLParser):
-    """Visible text with a line for each block, the title, and links in order."""
+    """Visible text with a line for each block, the title, and links in order.
+
+    A head ends where something comes that may not stand in one, a noscript or
+    template that is never closed hides nothing.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -112,6 +117,8 @@ class Page(HTMLParser):
         self.title: list[str] = []
         self.links: list[str] = []
         self.hidden: list[str] = []
+        self.since: list[int] = []  # for each of hidden, how long held was
+        self.held: list[int] = []  # parts inside a noscript or template, which count if it is not closed
         self.in_title = False
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -121,10 +128,13 @@ class Page(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.reveal(0)
         if tag in HIDDEN and not (tag == "head" and self.hidden):
             self.hidden.append(tag)
+            self.since.append(len(self.held))
         elif tag == "body":
-            self.hidden.clear()
+            self.reveal(0)
         self.in_title = tag == "title"
         if tag in BREAKS:
             self.parts.append("\n")
@@ -134,11 +144,18 @@ class Page(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag in HIDDEN and self.hidden and self.hidden[-1] == tag:
-            self.hidden.pop()
+            self.reveal(len(self.hidden) - 1)
+
+    def reveal(self, depth: int) -> None:
+        """Closes what is hidden from ``depth`` on; what it held stays hidden."""
+        if self.hidden[depth:]:
+            for place in self.held[self.since[depth] :]:
+                self.parts[place] = ""
+            del self.held[self.since[depth] :], self.hidden[depth:], self.since[depth:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag) :]
+            self.reveal(self.hidden.index(tag))
         if tag == "title":
             self.in_title = False
         if tag in BREAKS:
@@ -147,8 +164,14 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
-            self.parts.append(data)
+            return
+        if self.hidden == ["head"] and data.strip(" \t\n\f\r"):
+            self.reveal(0)
+        if self.hidden and self.hidden[-1] in ("noscript", "template"):
+            self.held.append(len(self.parts))
+        elif self.hidden:
+            return
+        self.parts.append(data)
 
     def text(self) -> str:
         lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))

@@ -29,3 +29,19 @@ def test_markup_that_the_parser_does_not_know(html, want):
 
 def test_encodings_that_are_not_for_text():
     assert text_and_fields("<p>a", "text/html; charset=idna")[0] == text_and_fields("<p>a", "text/html; charset=base64")[0] == "a"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><title>T</title> Hello<b> you", "Hello you"),
+        ("<head><meta charset=utf-8><style>x{}</style>\n<script>y</script><title>T</title><div>a<p>b", "a\nb"),
+        ("<head><title>T</title><noscript><p>js</p></noscript><p>Hello", "Hello"), ("<head><title>T</title><noscript><p>Hello", "Hello"),
+        ("<title>T</title><p>a<template><p>Hello", "a\nHello"), ("<title>T</title><p>a<template>x<noscript>y</noscript>z</template>b", "ab"),
+        ("<head><title>T</title><noscript>n</head><body>Hello", "Hello"), ("<head><noscript>n<title>T</title><body>Hello", "Hello"),
+        ("<head><title>T</title></head><p>a<noscript>n<p>m</noscript>b", "a\nb"), ("<title>T</title><p>a<template>x<noscript>y</template>b<script>z", "ab"),
+    ],
+)
+def test_heads_and_hidden_parts_that_are_not_closed(html, want):
+    text, fields = text_and_fields(html)
+    assert text == want and "title: T\r\n" in fields
