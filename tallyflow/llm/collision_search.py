@@ -7,7 +7,7 @@ grow by the same factor (virtual rehashing: wider buckets, the same arrays), and
 vector that lies in the window of at least ``THRESHOLD`` lines is verified against
 the original vectors. A query is done once its k-th neighbour of the block lies
 within the radius that the windows stand for: a vector within that radius is in a
-window with a chance of ``P_NEAR`` or more, and so reaches the threshold with 0.93
+window with a chance of ``P_NEAR`` or more, and so reaches the threshold with some 0.97
 or more. A block of vectors that are all alike is verified as a whole.
 
 Nearness is the inner product. Vectors get one more component that makes all of
@@ -15,8 +15,9 @@ a block equally long, which turns the largest inner product into the smallest
 distance; it serves the projections only. Scores are sums of products of the
 original components as doubles, from the first component to the last.
 
-Spark deals rows into blocks and queries into chunks (``vectors.tiles``); a tile's
-result is at most k rows for a query. Blocks are shares of all rows by number, so
+Spark deals rows into runs of blocks and queries into chunks (``vectors.tiles``). A
+task goes through the blocks of its run in turn: what is farther than the k best so
+far is not looked for in the next block. Runs are shares of all rows by number, so
 equal or crowded vectors spread evenly, and every row is indexed.
 
 Defined results: vectors that are null, empty, zero or that hold a null or
@@ -36,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import numbered
-from tallyflow.llm.vectors import TILE, best, finite, matrix, tie_order, tiles
+from tallyflow.llm.vectors import TILE, best, blocks, finite, in_order, matrix, tie_order, tiles
 
 LINES = 64
 # Width of a window at radius 1, and the chance that a vector at distance 1 lies in it.
 WIDTH = 2.2
 P_NEAR = math.erf(WIDTH / 2 / math.sqrt(2))
-THRESHOLD = math.ceil(LINES * P_NEAR - 1.5 * math.sqrt(LINES * P_NEAR * (1 - P_NEAR)))
+THRESHOLD = math.ceil(LINES * P_NEAR - 2 * math.sqrt(LINES * P_NEAR * (1 - P_NEAR)))
 # Radii in lengths of the vectors of a block: unrelated ones are some 1.4 apart, and
 # the windows grow in smaller steps where they begin to hold those.
 FIRST_RADIUS, FINE_FROM, GROWTH, FINE_GROWTH = 1 / 16, 0.75, 1.4, 1.1
@@ -73,24 +74,29 @@ class Block:
         np.put_along_axis(self.place, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
         self.sorted = np.take_along_axis(projected, order, axis=1)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, ties: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, ties: np.ndarray, known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and scores of about the k nearest vectors of each query, nearest first.
 
         ``own`` is the place of the query itself or -1, ``ties`` the rank of each
-        vector among equal scores.
+        vector among equal scores. ``known`` has the k best scores of each query in
+        blocks before this one, -inf where there are fewer: what is farther than those
+        is not looked for.
         """
+        if known is None:
+            known = np.full((len(queries), k), -np.inf)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a in range(0, len(queries), IN_STEP):
-            found += self._search(queries[a : a + IN_STEP], own[a : a + IN_STEP], k, ties)
+            found += self._search(queries[a : a + IN_STEP], own[a : a + IN_STEP], k, ties, known[a : a + IN_STEP])
         return found
 
-    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, ties: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, ties: np.ndarray, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         n, q = len(self.vectors), len(queries)
         size = np.abs(queries).max(axis=1, keepdims=True)
         aimed = queries / size
         norms = np.sqrt(np.einsum("ij,ij->i", aimed, aimed))
         # As long as the longest vector: the order of inner products stays, distances are least.
         centre = self.lines[:, :-1] @ (aimed * (self.length / norms)[:, None]).T
+        norms = norms * size[:, 0]
         low = np.stack([np.searchsorted(line, c) for line, c in zip(self.sorted, centre)])
         high = low.copy()
         counts = np.zeros((q, n), np.uint8)  # LINES fit
@@ -99,9 +105,13 @@ class Block:
         left = open_.sum(axis=1)
         places: list[list[np.ndarray]] = [[] for _ in range(q)]
         scores: list[list[np.ndarray]] = [[] for _ in range(q)]
-        active, radius = np.arange(q), FIRST_RADIUS * self.length
+        best = [np.sort(s) for s in known]
+        far = self._distance(known.min(axis=1), norms)
+        # A query with k neighbours from earlier blocks begins halfway to the farthest of them.
+        radius = np.maximum(FIRST_RADIUS * self.length, np.where(np.isfinite(far), far / 2, 0))
+        active = np.flatnonzero(left > 0)
         while len(active):
-            half = WIDTH * radius / 2
+            half = WIDTH * radius[active] / 2
             new_low = np.stack([np.searchsorted(line, c - half, side="left") for line, c in zip(self.sorted, centre[:, active])])
             new_high = np.stack([np.searchsorted(line, c + half, side="right") for line, c in zip(self.sorted, centre[:, active])])
             new_low, new_high = np.minimum(new_low, low[:, active]), np.maximum(new_high, high[:, active])
@@ -113,13 +123,23 @@ class Block:
                     open_[query, ready] = False
                     left[query] -= len(ready)
                     places[query].append(ready)
-                    scores[query].append(self._products(queries[query], ready))
-                if left[query] and not self._within(scores[query], k, radius, size[query, 0] * norms[query]):
+                    scores[query].append(self.vectors[ready] @ queries[query])
+                    every = np.concatenate([best[query], scores[query][-1]])
+                    best[query] = np.partition(every, len(every) - k)[len(every) - k :]
+                    far[query] = self._distance(best[query][:1], norms[query])[0]
+                if left[query] and far[query] > radius[query]:
                     going.append(query)
             low[:, active], high[:, active] = new_low, new_high
             active = np.array(going, int)
-            radius *= GROWTH if radius < FINE_FROM * self.length else FINE_GROWTH
-        return [self._first(queries[i], places[i], scores[i], k, ties) for i in range(q)]
+            wider = radius[active] * np.where(radius[active] < FINE_FROM * self.length, GROWTH, FINE_GROWTH)
+            # No farther than the k-th neighbour known; a window of that radius ends the search.
+            radius[active] = np.minimum(wider, far[active] * (1 + 1e-12))
+        return [self._first(queries[i], places[i], scores[i], k, ties, best[i][0]) for i in range(q)]
+
+    def _distance(self, score: np.ndarray, norm: np.ndarray | float) -> np.ndarray:
+        """Of two vectors of the block's length with this inner product; infinite for none."""
+        cosine = score / self.scale / norm * self.length
+        return np.sqrt(np.maximum(2 * self.length**2 - 2 * cosine, 0))
 
     def _count(self, counts: np.ndarray, new_low: np.ndarray, low: np.ndarray, high: np.ndarray, new_high: np.ndarray) -> None:
         """Counts the vectors that the windows of all lines hold, from what they held before."""
@@ -134,31 +154,13 @@ class Block:
         met = [piece for line, a, b, c, d in edges for piece in (line[a:b], line[c:d])]
         counts += np.bincount(np.concatenate(met), minlength=len(counts)).astype(np.uint8)
 
-    def _products(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return self.vectors[places] @ query
-
-    def _within(self, scores: list[np.ndarray], k: int, radius: float, norm: float) -> bool:
-        """Whether the k-th best of the scores stands for a distance within the radius."""
-        if sum(map(len, scores)) < k:
-            return False
-        every = np.concatenate(scores)
-        if len(scores) > 1:
-            scores[:] = [every]
-        kth = float(np.partition(every, len(every) - k)[len(every) - k])
-        # Of two vectors of that length with this inner product.
-        distance = 2 * self.length**2 - 2 * kth / self.scale * (self.length / norm)
-        return distance <= radius**2
-
-    def _first(self, query: np.ndarray, places: list[np.ndarray], scores: list[np.ndarray], k: int, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best with exact scores; ties and rounding of the first product are settled here."""
+    def _first(self, query: np.ndarray, places: list[np.ndarray], scores: list[np.ndarray], k: int, ties: np.ndarray, kth: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best with exact scores, no worse than ``kth``; ties and rounding of the first product are settled here."""
         if not places:
             return np.zeros(0, np.int64), np.zeros(0)
         place, score = np.concatenate(places), np.concatenate(scores)
-        if len(place) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            # Rounding of a sum in another order, far below this bound.
-            slack = 1e-12 * float(np.abs(query).max()) * self.scale * len(query)
-            place = place[score >= kth - slack]
+        # Rounding of a sum in another order is far below this bound.
+        place = place[score >= kth - 1e-12 * float(np.abs(query).max()) * self.scale * len(query)]
         exact = np.zeros(len(place))
         for column, x in zip(self.columns, query):
             exact += column[place] * x
@@ -170,27 +172,38 @@ RESULT = "query_row long, query_id long, row long, vec_id long, score double"
 
 
 def search_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """All queries of a tile in its block."""
+    """All queries of a tile in its blocks, one block after the other."""
     names = ["query_row", "query_id", "row", "vec_id", "score"]
     if not queries.num_rows or not rows.num_rows:
         return pa.table([pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names], names)
-    block = Block(matrix(rows, "vector"))
-    numbers = rows["row"].to_numpy()
+    queries, rows = in_order(queries), in_order(rows)
+    vectors, asked = matrix(rows, "vector"), matrix(queries, "vector")
+    numbers, wanted = rows["row"].to_numpy(), queries["row"].to_numpy()
     ties = tie_order(rows["vec_id"], numbers)
-    by_number = np.argsort(numbers)
-    asked = queries["row"].to_numpy()
-    at = by_number[np.minimum(np.searchsorted(numbers, asked, sorter=by_number), len(numbers) - 1)]
-    own = np.where(numbers[at] == asked, at, -1)
-    found = block.search(matrix(queries, "vector"), own, k, ties)
-    which = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
-    place = np.concatenate([p for p, _ in found])
+    at = np.searchsorted(numbers, wanted)
+    own = np.where(numbers[np.minimum(at, len(numbers) - 1)] == wanted, at, -1)
+    place = np.zeros((len(wanted), 0), np.int64)
+    score = np.zeros((len(wanted), 0))
+    for start, stop in blocks(len(numbers)):
+        inside = np.where((own >= start) & (own < stop), own - start, -1)
+        known = np.pad(score, ((0, 0), (0, k - score.shape[1])), constant_values=-np.inf)
+        found = Block(vectors[start:stop]).search(asked, inside, k, ties[start:stop], known)
+        # The best k of each query so far; missing ones are -inf at the end.
+        new_place, new_score = np.zeros((len(found), k), np.int64), np.full((len(found), k), -np.inf)
+        for i, (p, s) in enumerate(found):
+            new_place[i, : len(p)], new_score[i, : len(s)] = p + start, s
+        place, score = np.hstack([place, new_place]), np.hstack([score, new_score])
+        order = np.lexsort((ties[place], -score), axis=1)[:, :k]
+        place, score = np.take_along_axis(place, order, 1), np.take_along_axis(score, order, 1)
+    which, column = np.nonzero(score > -np.inf)
+    place = place[which, column]
     return pa.table(
         [
-            pa.array(asked[which]),
+            pa.array(wanted[which]),
             queries["vec_id"].combine_chunks().take(pa.array(which)),
             pa.array(numbers[place]),
             rows["vec_id"].combine_chunks().take(pa.array(place)),
-            pa.array(np.concatenate([s for _, s in found])),
+            pa.array(score[which, column]),
         ],
         names,
     )
@@ -208,11 +221,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         F.size("embedding").alias("dims"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
-    queries, blocks = tiles(usable.filter(is_query), usable)
+    queries, candidates = tiles(usable.filter(is_query), usable)
 
-    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
-        return search_tile(asked, block, k)
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        return search_tile(asked, rows, k)
 
-    found = queries.groupBy(*TILE).cogroup(blocks.groupBy(*TILE)).applyInArrow(run, RESULT)
+    found = queries.groupBy(*TILE).cogroup(candidates.groupBy(*TILE)).applyInArrow(run, RESULT)
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row")]
     return best(found, ["query_row"], order, k).select("query_id", "rank", "vec_id", "score", "query_row", "row")

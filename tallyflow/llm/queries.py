@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import block_naming, byte_pairs, collision_search, jaccard_join, language_id, quality_classifier, quality_rules, repeated_passages, source_mix, threshold_mining, token_files, warc_derivatives
+from tallyflow.llm import block_naming, byte_pairs, collision_search, jaccard_join, language_id, lexical_search, quality_classifier, quality_rules, repeated_passages, source_mix, threshold_mining, token_files, warc_derivatives
 from tallyflow.llm.common import read, remainder
 from tallyflow.session import stage_path, staged
 
@@ -76,6 +76,11 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     found = threshold_mining.mine(read(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
@@ -94,6 +99,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mix": op10_source_mix,
     "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -106,6 +112,27 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op12_lexical_search": """
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term
+            FROM documents),
+        counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+        sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+        lengths AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM sizes, corpus),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM counts, corpus GROUP BY term, docs),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

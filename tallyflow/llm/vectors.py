@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tallyflow.session import staged
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
-# A block or chunk has at most so many components, however long its vectors are.
+# Blocks that a task goes through one after the other, with what it knows from those before.
+BLOCKS_IN_RUN = 8
+QUERY_ROWS = 512
+# A run or chunk has at most so many components, however long its vectors are.
 CELLS = 1 << 22
 
-TILE = ("dims", "block", "chunk")
+TILE = ("dims", "run", "chunk")
 
 
 def finite(vector: Column) -> Column:
@@ -31,10 +33,10 @@ def share(row: Column, parts: Column, seed: int) -> Column:
 def tiles(queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both frames (row, dims, ...) dealt out so that each query meets each row of its length once.
 
-    Rows of a length ``dims`` are cut into blocks and queries into chunks of bounded
-    size, by their number; a tile is a block with a chunk. A query goes to every
-    block and a row to every chunk: a search of stated queries in all rows, block by
-    block, in which no task holds more than one tile.
+    Rows of a length ``dims`` are cut into runs and queries into chunks of bounded
+    size, by their number; a tile is a run with a chunk. A query goes to every run and
+    a row to every chunk: a search of stated queries in all rows, run by run, in which
+    no task holds more than one tile.
     """
 
     def parts(df: DataFrame, name: str, most: int) -> DataFrame:
@@ -42,14 +44,27 @@ def tiles(queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         return df.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.ceil(F.col("n") / size).cast("int").alias(name))
 
     # One row for each length, written so that Spark sees how small it is.
-    plan = staged(parts(rows, "blocks", BLOCK_ROWS).join(parts(queries, "chunks", QUERY_ROWS), "dims"), "tiles")
+    runs, chunks = parts(rows, "runs", BLOCK_ROWS * BLOCKS_IN_RUN), parts(queries, "chunks", QUERY_ROWS)
+    plan = staged(runs.join(chunks, "dims"), "tiles")
 
     def dealt(df: DataFrame, own: str, owns: str, other: str, others: str, seed: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
         # Aliases, as both frames may come from one and are grouped together.
         return df.join(plan, "dims").select(*[F.col(c).alias(c) for c in df.columns], share(F.col("row"), F.col(owns), seed).alias(own), every)
 
-    return dealt(queries, "chunk", "chunks", "block", "blocks", 1), dealt(rows, "block", "blocks", "chunk", "chunks", 2)
+    return dealt(queries, "chunk", "chunks", "run", "runs", 1), dealt(rows, "run", "runs", "chunk", "chunks", 2)
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows of a tile in the order of their numbers, whatever order a shuffle gave them."""
+    return table.take(pa.array(np.argsort(table["row"].to_numpy())))
+
+
+def blocks(rows: int) -> list[tuple[int, int]]:
+    """Even blocks of a run."""
+    n = -(-rows // BLOCK_ROWS)
+    edges = [rows * i // n for i in range(n + 1)] if n else [0]
+    return list(zip(edges, edges[1:]))
 
 
 def matrix(table: pa.Table, name: str, kind: type = np.float64) -> np.ndarray:
