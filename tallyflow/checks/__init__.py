@@ -15,11 +15,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_checks() -> tuple[dict[str, Query], dict[str, str]]:
-    from tallyflow.checks import flow_checks, mart_checks, snapshot_checks, source_checks
+    from tallyflow.checks import (
+        flow_checks,
+        mart_checks,
+        series_checks,
+        snapshot_checks,
+        source_checks,
+    )
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (source_checks, snapshot_checks, flow_checks, mart_checks):
+    for module in (source_checks, snapshot_checks, flow_checks, mart_checks, series_checks):
         queries.update(module.QUERIES)
         sql.update(module.SQL)
     return queries, sql

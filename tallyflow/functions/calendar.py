@@ -50,6 +50,18 @@ def month_text(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
+def month_number(text: Column) -> Column:
+    """Months since year 0 of a ``yyyy-MM`` text, so that neighbours differ by 1."""
+    year, month = (F.substring(text, *at).try_cast("int") for at in ((1, 4), (6, 2)))
+    return year * 12 + month - 1
+
+
+def number_month(number: Column) -> Column:
+    """The ``yyyy-MM`` text of such a number."""
+    year, month = F.floor(number / 12).cast("string"), (F.pmod(number, F.lit(12)) + 1).cast("string")
+    return F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"))
+
+
 def day_text(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.calendar import month_text, utc_day
@@ -15,32 +15,129 @@ from tallyflow.schemas import REJECTED, SnapshotSpec
 
 ROWS = "report_rows"
 REJECTS = "rejected_rows"
+SUPERSEDED = "superseded_rows"
+REVISIONS = ("all", "latest")
 
 
-def area_day_totals(reports: DataFrame, spec: SnapshotSpec, day: str = "date") -> DataFrame:
+def area_day_totals(
+    reports: DataFrame,
+    spec: SnapshotSpec,
+    day: str = "date",
+    *,
+    revisions: str = "all",
+    version: Column | None = None,
+    extra: Sequence[str] = (),
+) -> DataFrame:
     """Sums of the measures per day and area, and the number of rows summed.
 
     Nothing is filtered: whether a row is valid depends on the two keys alone,
     so quality counts can be taken from this small table instead of a second
     pass over the reports. Malformed rows of a scan that keeps them add to the
     group without day and area, and there only to the number of rejected rows.
+    ``extra`` columns, such as the file of a row, join the key.
+
+    ``revisions="latest"`` is for files that repeat reports of other periods: of
+    all rows of a place and day the one with the largest ``version`` counts, and
+    the rest are counted as superseded. See :func:`latest_reports`.
     """
+    require_one_of("revisions", revisions, REVISIONS)
     read = F.lit(True)
     if REJECTED in reports.columns:
         read = named(REJECTED).isNull()
     values = {day: utc_day(reports, spec.stamp), spec.area: named(spec.area)}
     values.update({m: named(m) for m in spec.measures})
-    return (
-        reports.select(
-            *[F.when(read, value).alias(name) for name, value in values.items()],
-            read.alias("_read"),
+    if revisions == "latest":
+        values.update({p: named(p) for p in spec.places})
+        values.update({_STAMP: named(spec.stamp), _VERSION: F.lit(0) if version is None else version})
+    rows = reports.select(
+        *[F.when(read, value).alias(name) for name, value in values.items()],
+        *[named(e) for e in extra],
+        read.alias("_read"),
+    )
+    counts = [F.count_if("_read").alias(ROWS), F.count_if(~F.col("_read")).alias(REJECTS)]
+    if revisions == "latest":
+        rows = latest_reports(
+            rows, [day, spec.area, *spec.places, *extra, "_read"], [_VERSION, _STAMP], spec.measures
         )
-        .groupBy(day, spec.area)
-        .agg(
-            *[F.sum(named(m)).alias(m) for m in spec.measures],
+        lines = F.col(SAME_REPORT)
+        counts = [
             F.count_if("_read").alias(ROWS),
-            F.count_if(~F.col("_read")).alias(REJECTS),
-        )
+            F.sum(F.when(F.col("_read"), 0).otherwise(lines)).alias(REJECTS),
+            F.sum(F.when(F.col("_read"), lines - 1).otherwise(0)).alias(SUPERSEDED),
+        ]
+    return rows.groupBy(day, spec.area, *extra).agg(
+        *[F.sum(named(m)).alias(m) for m in spec.measures], *counts
+    )
+
+
+def values_name(measure: str) -> str:
+    return f"{measure}_values"
+
+
+def day_states(
+    reports: DataFrame, spec: SnapshotSpec, day: str = "date", *, extra: Sequence[str] = ()
+) -> DataFrame:
+    """What :func:`area_day_totals` sums up, as states that can be added and taken away.
+
+    Beside each sum stands the number of its values, which tells an empty sum from 0.
+    """
+    read = F.lit(True)
+    if REJECTED in reports.columns:
+        read = named(REJECTED).isNull()
+    values = {day: utc_day(reports, spec.stamp), spec.area: named(spec.area)}
+    values.update({m: named(m) for m in spec.measures})
+    rows = reports.select(
+        *[F.when(read, value).alias(name) for name, value in values.items()],
+        *[named(e) for e in extra],
+        read.alias("_read"),
+    )
+    sums = [(F.coalesce(F.sum(named(m)), F.lit(0)).alias(m), F.count(named(m)).alias(values_name(m))) for m in spec.measures]
+    return rows.groupBy(*extra, day, named(spec.area)).agg(
+        *[c for pair in sums for c in pair],
+        F.count_if("_read").alias(ROWS),
+        F.count_if(~F.col("_read")).alias(REJECTS),
+    )
+
+
+def state_columns(spec: SnapshotSpec) -> list[str]:
+    return [c for m in spec.measures for c in (m, values_name(m))] + [ROWS, REJECTS]
+
+
+def negated_states(states: DataFrame, spec: SnapshotSpec) -> DataFrame:
+    return states.withColumns({c: -named(c) for c in state_columns(spec)})
+
+
+def merged_states(states: DataFrame, keys: Sequence[str], spec: SnapshotSpec) -> DataFrame:
+    """States per key, without those that nothing is left of."""
+    merged = states.groupBy(*[named(k) for k in keys]).agg(*[F.sum(named(c)).alias(c) for c in state_columns(spec)])
+    return merged.filter((F.col(ROWS) != 0) | (F.col(REJECTS) != 0))
+
+
+def totals_of_states(states: DataFrame, spec: SnapshotSpec, day: str = "date") -> DataFrame:
+    """The totals that states stand for."""
+    sums = [F.when(named(values_name(m)) != 0, named(m)).alias(m) for m in spec.measures]
+    return states.select(day, named(spec.area), *sums, ROWS, REJECTS)
+
+
+_STAMP, _VERSION, SAME_REPORT = "_stamp", "_version", "_rows_of_report"
+
+
+def latest_reports(
+    rows: DataFrame, keys: Sequence[str], version: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """One row per key, with the values of its latest version and the number of its rows.
+
+    The latest is a maximum of (version, values), so it can be taken in parts, in any
+    order, before and after a shuffle; rows of one version with different values
+    leave the larger ones. Places are part of the key, so the rows of an area with
+    most of the reports spread over as many groups as it has places and days.
+    """
+    state = F.max(F.struct(*[named(c) for c in (*version, *values)])).alias("_latest")
+    grouped = rows.groupBy(*[named(k) for k in keys]).agg(state, F.count("*").alias(SAME_REPORT))
+    return grouped.select(
+        *[named(k) for k in keys],
+        *[F.col("_latest").getField(v).alias(v) for v in values],
+        SAME_REPORT,
     )
 
 

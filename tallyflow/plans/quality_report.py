@@ -6,30 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.calendar import day_text
+from tallyflow.functions.columns import named
 from tallyflow.operators.lookups import repeated_keys, unmatched
 from tallyflow.operators.quality import abnormal_sample, day_audit, null_profile, report_lines
 from tallyflow.operators.reshape import union_by_name
-from tallyflow.operators.rollups import REJECTS, ROWS
+from tallyflow.operators.rollups import REJECTS, ROWS, SUPERSEDED
 from tallyflow.plans.flows import WEIGHT
-from tallyflow.plans.snapshots import days_from_totals
+from tallyflow.plans.snapshots import days_from_totals, total_resets
 from tallyflow.schemas import SnapshotSpec
 
 
-def snapshot_report(totals: DataFrame, spec: SnapshotSpec) -> DataFrame:
+def snapshot_report(totals: DataFrame, spec: SnapshotSpec, resets: str = "keep") -> DataFrame:
     """Lines for the reports and for the country-day table made of them.
 
     Reads the day totals, where each row knows how many reports it stands for.
+    With ``resets="carry"`` each fall of a total is a line too.
     """
+    scanned = [c for c in (REJECTS, SUPERSEDED) if c in totals.columns]
+    sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in scanned])
     return union_by_name(
         [
-            report_lines(totals.agg(F.coalesce(F.sum(REJECTS), F.lit(0)).alias(REJECTS)), "scan"),
+            report_lines(sums, "scan"),
             report_lines(day_audit(totals, "date", spec, weight=ROWS), "reports"),
-            report_lines(null_profile(days_from_totals(totals, spec)), "area_day_nulls"),
+            report_lines(null_profile(days_from_totals(totals, spec, resets=resets)), "area_day_nulls"),
             abnormal_lines(totals, spec),
+            *([reset_lines(totals, spec)] if resets == "carry" else []),
         ]
     )
 
 
+def reset_lines(totals: DataFrame, spec: SnapshotSpec) -> DataFrame:
+    """A line for each fall of a total: day, area and measure, and by how much it fell."""
+    return total_resets(totals, spec).select(
+        F.lit("reset").alias("section"),
+        F.concat_ws(" ", day_text(F.col("date")), named(spec.area), "measure").alias("metric"),
+        F.col("drop").cast("double").alias("value"),
+    )
+
+
 def abnormal_lines(totals: DataFrame, spec: SnapshotSpec, n: int = 10) -> DataFrame:
     """The first ``n`` days and areas out of the years, with their number of reports."""
     counted = totals.filter(F.col(ROWS) > 0)

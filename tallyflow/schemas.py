@@ -19,6 +19,12 @@ DAILY_REPORT_12 = """
     Last_Update TIMESTAMP, Lat FLOAT, Long_ FLOAT,
     Confirmed INT, Deaths INT, Recovered INT, Active INT, Combined_Key STRING
 """
+EARLIER_REPORT_NAMES = {
+    "Latitude": "Lat",
+    "Longitude": "Long_",
+    "Incidence_Rate": "Incident_Rate",
+}
+REPORT_ESSENTIALS = ("Country_Region", "Last_Update", "Confirmed")
 FACILITY_COLUMNS = ("icao", "country")
 CODE_NAME_COLUMN = "English short name lower case"
 CODE_COLUMN = "Alpha-2 code"

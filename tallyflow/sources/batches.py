@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def period_parts(period: str) -> tuple[str, str]:
     """Year and month of a batch identifier, ``*`` for an open part."""
@@ -32,3 +35,13 @@ def flow_glob(period: str, prefix: str = "flightlist_", suffix: str = ".csv.gz")
     """Glob of flow files, named by the first and last day they cover."""
     stem = "" if period == "*" else "".join(p for p in period_parts(period) if p != "*")
     return f"{prefix}{stem}*_{stem}*{suffix}"
+
+
+def report_day(file: Column) -> Column:
+    """The day in the name of a report file, ``MM-DD-YYYY`` or ``YYYY-MM-DD``; NULL without one.
+
+    The last such name of a path counts, so a folder written in place of a file will do.
+    """
+    parts = [F.regexp_extract(file, r".*/(\d{2})-(\d{2})-(\d{4})[.]csv", i) for i in (3, 1, 2)]
+    iso = F.regexp_extract(file, r".*/(\d{4}-\d{2}-\d{2})[.]csv", 1)
+    return F.when(iso != "", iso).otherwise(F.concat_ws("-", *parts)).try_cast("date")

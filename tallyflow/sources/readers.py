@@ -65,13 +65,17 @@ def read_reports(
     the shorter layout in the same scan. Rows of other layouts stay rejected.
     A bad value drops its row only when the column is used.
     """
-    path = f"{folder}/{report_glob(period)}"
-    rows = read_with_rejects(spark, path, schemas.DAILY_REPORT, missing_ok=True)
-    rows = rows.withColumn(SOURCE, F.input_file_name())
-    rows = with_second_layout(rows, schemas.DAILY_REPORT_12)
+    rows = read_report_files(spark, f"{folder}/{report_glob(period)}")
     return rows if rejects else kept_rows(rows)
 
 
+def read_report_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All rows of report files, with what is rejected, under the declared layouts."""
+    rows = read_with_rejects(spark, paths, schemas.DAILY_REPORT, missing_ok=True)
+    rows = rows.withColumn(SOURCE, F.input_file_name())
+    return with_second_layout(rows, schemas.DAILY_REPORT_12)
+
+
 def with_second_layout(rows: DataFrame, schema: str) -> DataFrame:
     """Rows of :func:`read_with_rejects`, rejected lines read again under ``schema``.
 
