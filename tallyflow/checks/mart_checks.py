@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow import schemas
-from tallyflow.checks.snapshot_checks import QUALITY_LINES
+from tallyflow.checks.snapshot_checks import PLAIN, QUALITY_LINES, missing
 from tallyflow.checks.tables import (
     RETAIL,
     codes,
@@ -37,11 +37,14 @@ from tallyflow.plans.flows import count_flows, map_flows
 from tallyflow.plans.marts import (
     cases_with_flows,
     destination_flows,
+    flow_hierarchy,
+    marts,
     marts_from_csv,
     marts_from_results,
     monthly_cases,
     pair_flows,
     series_marts,
+    with_known_names,
 )
 from tallyflow.plans.snapshots import area_day_table, area_month_table
 from tallyflow.plans.views import (
@@ -55,12 +58,13 @@ from tallyflow.plans.views import (
 )
 from tallyflow.session import stage_path, staged
 from tallyflow.sources.readers import (
-    read_aliases,
+    alias_table,
     read_end_flows,
     read_partitioned,
     read_wide_series,
 )
 from tallyflow.sources.sinks import RESULT_PARTITIONS, write_batch, write_csv
+from tallyflow.streaming.joined_months import append_rows, streamed_cases_with_flows
 
 SECOND_BATCH = dt.date(1998, 9, 16)
 START, END = "1997-02", "1999-06"
@@ -284,8 +288,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def batch_files(spark: SparkSession, sf_dir: str) -> BatchInputs:
-    """All tables written in the layouts a batch run reads."""
+# A name that the codes table does not have, of a nation that it has.
+FOREIGN = {"NATION_7": "Nation, 77"}
+
+
+def batch_files(spark: SparkSession, sf_dir: str, defects: bool = False) -> BatchInputs:
+    """All tables written in the layouts a batch run reads.
+
+    ``defects`` leaves days and origins of some flows and the nation of some suppliers
+    unknown, leaves out some facilities, and writes one nation by another name.
+    """
     root = stage_path(spark, "batch-inputs")
     inputs = BatchInputs(
         f"{root}/reports", f"{root}/flights", f"{root}/airports.csv", f"{root}/countries.csv"
@@ -296,7 +308,7 @@ def batch_files(spark: SparkSession, sf_dir: str) -> BatchInputs:
             empty.alias("FIPS"),
             F.col("segment").alias("Admin2"),
             empty.alias("Province_State"),
-            F.col("area").alias("Country_Region"),
+            renamed_areas(F.col("area"), FOREIGN if defects else {}).alias("Country_Region"),
             F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("Last_Update"),
             empty.alias("Lat"),
             empty.alias("Long_"),
@@ -320,7 +332,7 @@ def batch_files(spark: SparkSession, sf_dir: str) -> BatchInputs:
         return F.concat(F.lit(prefix), F.col(column).cast("string")).alias(column)
 
     (
-        flows(spark, sf_dir)
+        flows(spark, sf_dir, gaps=defects)
         .select(
             F.concat(day_text(F.col("day")), F.lit(" 00:00:00+00:00")).alias("day"),
             key("S", "origin"),
@@ -333,9 +345,9 @@ def batch_files(spark: SparkSession, sf_dir: str) -> BatchInputs:
     write_csv(
         union_by_name(
             [
-                supplier_facilities(spark, sf_dir).select(key("S", "icao"), "country"),
-                supplier_facilities(spark, sf_dir).filter("icao % 3 = 0").select(key("S", "icao"), "country"),
-                customer_facilities(spark, sf_dir).select(key("C", "icao"), "country"),
+                supplier_facilities(spark, sf_dir, defects).select(key("S", "icao"), "country"),
+                supplier_facilities(spark, sf_dir, defects).filter("icao % 3 = 0").select(key("S", "icao"), "country"),
+                customer_facilities(spark, sf_dir).filter("icao % 10 > 0" if defects else "true").select(key("C", "icao"), "country"),
             ]
         ),
         inputs.facilities,
@@ -355,7 +367,7 @@ FILE_SPEC = schemas.SnapshotSpec(first_year=RETAIL.first_year, last_year=RETAIL.
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases, flows and quality lines of a run over all periods."""
     paths = run_batch(
-        spark, batch_files(spark, sf_dir), stage_path(spark, "batch-out"), spec=FILE_SPEC
+        spark, batch_files(spark, sf_dir, defects=True), stage_path(spark, "batch-out"), spec=FILE_SPEC
     )
     columns = {
         "cases": "year_month STRING, Country_Region STRING, "
@@ -418,12 +430,13 @@ def csv_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def overlapping_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A year and one of its months as batches of their own: the month counts once."""
+    """Each year, and each September, as batches of their own: those months count once."""
     out = stage_path(spark, "overlap-out")
     months = area_month_table(reports(spark, sf_dir), RETAIL).withColumnRenamed("area", "Country_Region")
     counts = count_flows(map_flows(flows(spark, sf_dir), *places(spark, sf_dir)), "destination", "year_month")
     counts = counts.withColumns({c: F.col(c).cast("string") for c in ("origin_country_code", "destination_country_code")})
-    for batch, stem in (("1998", "1998-"), ("199809", "1998-09")):
+    years = range(RETAIL.first_year - 1, RETAIL.last_year + 2)
+    for batch, stem in [(str(y), f"{y}-") for y in years] + [(f"{y}09", f"{y}-09") for y in years]:
         part = months.filter(F.col("year_month").startswith(stem))
         write_batch(part, f"{out}/cases", batch=batch)
         write_batch(part.filter(F.col("Country_Region") == FOCUS), f"{out}/cases", batch=batch, areas=FOCUS)
@@ -432,7 +445,7 @@ def overlapping_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aliased_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations renamed by an alias table that comes as a CSV file."""
+    """Customers with their nation renamed by an alias table that comes as a CSV file."""
     path = stage_path(spark, "aliases")
     nations = codes(spark, sf_dir)
     write_csv(
@@ -441,9 +454,52 @@ def aliased_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         path,
     )
-    return nations.select(
-        "country_code", renamed_areas(F.col("country"), read_aliases(spark, path)).alias("country")
-    )
+    named_customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("country_code"))
+    renamed = with_known_names(named_customers, "country", alias_table(spark, path), "known_as")
+    return renamed.select("c_custkey", F.col("known_as").alias("country"))
+
+
+def aliased_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All countries with their flows, whose names another system gives; a CSV file tells which is which."""
+    path = stage_path(spark, "aliases")
+    nations = codes(spark, sf_dir).filter("country_code % 2 = 0")
+    known = F.concat(F.lit("Land of "), "country").alias("known")
+    write_csv(nations.select(F.col("country").alias("name"), known), path)
+    table_of = alias_table(spark, path)
+    arrivals = with_known_names(ends(spark, sf_dir), "end_country", table_of, "other")
+    renamed = arrivals.drop("end_country").withColumnRenamed("other", "end_country")
+    return cases_with_flows(cases(spark, sf_dir), renamed, aliases=table_of)
+
+
+def aliased_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marts of one area, all handed the alias table."""
+    table_of = spark.createDataFrame([(FOCUS, "Other Name"), ("x", "y")], "area string, known_as string")
+    rows = flow_rows(spark, sf_dir)
+    renamed = with_known_names(rows, "destination_country", table_of, "other").drop("destination_country")
+    every = case_rows(spark, sf_dir)
+    tables = marts(every, every, renamed.withColumnRenamed("other", "destination_country"), FOCUS, RETAIL, aliases=table_of)
+    return tables["focus_with_flows"]
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow counts of every level, by month and over all months."""
+    return flow_hierarchy(pairs(spark, sf_dir))
+
+
+def streamed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with flows from two streams of files, one file of each to a micro-batch."""
+    root = stage_path(spark, "join-files")
+    streams = {}
+    for name, rows in {"cases": staged(cases(spark, sf_dir), "cases"), "flows": staged(ends(spark, sf_dir), "flows")}.items():
+        for year in (*range(1995, 2002), 2999):
+            # The last file holds a month that lets the watermark pass all others.
+            later = rows.limit(1).withColumn("month", F.lit("2999-12"))
+            part = later if year == 2999 else rows.filter(F.col("month").startswith(str(year)))
+            part.repartition(1).write.mode("append").parquet(f"{root}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+    joined_rows = streamed_cases_with_flows(streams["cases"], streams["flows"])
+    append_rows(joined_rows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(joined_rows.schema).parquet(f"{root}/out").filter("month < '2999'")
 
 
 def csv_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,6 +541,10 @@ QUERIES = {
     "dashboard_marts": run_and_marts,
     "marts_overlapping_batches": overlapping_marts,
     "alias_table_lookup": aliased_lookup,
+    "marts_aliased_countries": aliased_marts,
+    "marts_aliased_focus": aliased_focus,
+    "flow_hierarchy": hierarchy,
+    "stream_stats_flow_join": streamed_join,
 }
 
 MERGED = """
@@ -520,6 +580,25 @@ ONE_BATCH = """(
     WINDOW w AS (PARTITION BY country ORDER BY month)) AS one_batch"""
 
 
+FOREIGN_NAME = f"'{FOREIGN['NATION_7']}'"
+FLOW_COLUMNS = (
+    "day", "year_month", "origin_icao", "origin_country_code", "origin_country",
+    "destination_icao", "destination_country_code", "destination_country",
+)
+# Flows of the run, without the facilities that its file leaves out.
+RUN_FLOWS = f"""(
+    SELECT * REPLACE ({", ".join(f"CASE WHEN destination_icao % 10 > 0 THEN {c} END AS {c}" for c in FLOW_COLUMNS[5:])})
+    FROM gap_mapped) AS run_flows"""
+
+
+def with_foreign_name(statement: str) -> str:
+    """The statement over reports in which one nation has another name."""
+    plain, place = "SELECT n_name AS area, c_mktsegment AS segment", "CASE n_name WHEN 'NATION_7' THEN {} ELSE n_name END"
+    if statement.count(plain) != 1:
+        raise ValueError("the reports are not where they were")
+    return statement.replace(plain, plain.replace("n_name", place.format(FOREIGN_NAME)))
+
+
 RUN_QUALITY = [
     line
     for line in QUALITY_LINES
@@ -632,41 +711,63 @@ SQL = {
         FROM part""",
     "csv_marts_focus": sql(f"SELECT * FROM {JOINED} WHERE country = '{FOCUS}'"),
     "csv_marts_cases_long": sql("SELECT * FROM cases_long"),
-    "all_period_job": sql(
+    "all_period_job": with_foreign_name(sql(
         " UNION ALL ".join(
             f"""SELECT '{m}' AS dataset, year_month AS part, area AS label,
                CAST("{m}" AS DOUBLE) AS value FROM months
         """
             for m in RETAIL.month_stats
         )
-        + """UNION ALL
+        + f"""UNION ALL
         SELECT 'flows', year_month, origin_country_code || ' ' || origin_country || ' to '
                || destination_country_code || ' ' || destination_country,
-               CAST(flight_count AS DOUBLE) FROM flow_counts
+               CAST(count(*) AS DOUBLE) FROM {RUN_FLOWS}
+        WHERE day IS NOT NULL AND origin_country IS NOT NULL AND destination_country IS NOT NULL
+          AND origin_country_code <> destination_country_code GROUP BY ALL
         UNION ALL
         SELECT 'quality', section,
                CASE metric WHEN 'area' THEN 'Country_Region' ELSE metric END, value FROM ("""
         + " UNION ALL ".join(RUN_QUALITY)
-        + """
+        + f"""
             UNION ALL SELECT * FROM (
                 SELECT 'abnormal_day', strftime(day, '%Y-%m-%d') || ' ' || area, CAST(report_rows AS DOUBLE)
                 FROM totals WHERE year(day) NOT BETWEEN 1996 AND 2000 ORDER BY day, area LIMIT 10)
             UNION ALL SELECT 'scan', 'rejected_rows', CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderkey % 7 = 0
             UNION ALL SELECT 'facilities', 'repeated_facilities', CAST(count(*) AS DOUBLE) FROM supplier WHERE s_suppkey % 3 = 0
-            UNION ALL SELECT 'names', 'unmatched_names', 0.0
-            UNION ALL SELECT 'flow_nulls', unnest(['day', 'year_month', 'origin_icao',
-                'origin_country_code', 'origin_country', 'destination_icao',
-                'destination_country_code', 'destination_country']), 0.0) AS q"""
-    ),
+            UNION ALL SELECT 'names', 'unmatched_names', 1.0
+            UNION ALL SELECT 'unmatched_name', {FOREIGN_NAME}, 1.0
+            UNION ALL SELECT * FROM (
+                SELECT 'name_candidate', {FOREIGN_NAME} || ' is ' || n_name, round(1 - levenshtein('77 nation', plain) / greatest(9, length(plain)), 6)
+                FROM (SELECT n_name, {PLAIN.format(x="n_name")} AS plain FROM nation) AS n
+                WHERE levenshtein('77 nation', plain) <= greatest(greatest(9, length(plain)) // 4, 2)
+                ORDER BY 3 DESC, n_name LIMIT 1)
+            UNION ALL SELECT 'flow_nulls', metric, CAST(value AS DOUBLE) FROM (
+                UNPIVOT (SELECT {", ".join(f"{missing(c)} AS {c}" for c in FLOW_COLUMNS)} FROM {RUN_FLOWS})
+                ON COLUMNS(*) INTO NAME metric VALUE value)) AS q"""
+    )),
     "marts_overlapping_batches": sql(
-        f"""SELECT of_year.*, flight_count FROM {ONE_BATCH.replace("FROM months)", "FROM months WHERE year_month LIKE '1998-%')").replace("one_batch", "of_year")}
-        LEFT JOIN {ARRIVALS} ON of_year.month = arrivals.month AND country = end_country
+        f"""SELECT one_batch.*, flight_count FROM {ONE_BATCH} LEFT JOIN {ARRIVALS}
+        ON one_batch.month = arrivals.month AND country = end_country
         WHERE country = '{FOCUS}'"""
     ),
     "alias_table_lookup": """
-        SELECT n_nationkey AS country_code,
-               CASE WHEN n_nationkey % 2 = 0 THEN 'Land of ' || n_name ELSE n_name END AS country
-        FROM nation""",
+        SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Land of ' || n_name ELSE n_name END AS country
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "marts_aliased_countries": sql(f"SELECT * FROM {JOINED}"),
+    "marts_aliased_focus": sql(f"SELECT * FROM {JOINED} WHERE country = '{FOCUS}'"),
+    "stream_stats_flow_join": sql(f"SELECT * FROM {JOINED}"),
+    "flow_hierarchy": sql("""
+        SELECT CASE WHEN grouping(origin_country) = 0 AND grouping(destination_country) = 0 THEN 'pair'
+                    WHEN grouping(destination_country) = 0 THEN 'destination'
+                    WHEN grouping(origin_country) = 0 THEN 'origin' ELSE 'all' END AS level,
+               CASE WHEN grouping(year_month) = 0 THEN 'month' ELSE 'all' END AS period,
+               year_month AS month, origin_country, origin_country_code, destination_country AS end_country,
+               destination_country_code, CAST(sum(flight_count) AS BIGINT) AS flight_count
+        FROM flow_counts GROUP BY GROUPING SETS (
+            (year_month, origin_country, origin_country_code, destination_country, destination_country_code),
+            (origin_country, origin_country_code, destination_country, destination_country_code),
+            (year_month, destination_country, destination_country_code), (destination_country, destination_country_code),
+            (year_month, origin_country, origin_country_code), (origin_country, origin_country_code), (year_month), ())"""),
     "dashboard_marts": sql(
         f"""SELECT one_batch.*, flight_count FROM {ONE_BATCH} LEFT JOIN {ARRIVALS}
         ON one_batch.month = arrivals.month AND country = end_country

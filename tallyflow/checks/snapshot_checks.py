@@ -27,6 +27,7 @@ from tallyflow.operators.filters import (
     valid_days,
 )
 from tallyflow.operators.lookups import repeated_keys, unmatched
+from tallyflow.operators.matching import name_candidates
 from tallyflow.operators.quality import abnormal_sample, day_audit, null_profile
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals
@@ -35,6 +36,7 @@ from tallyflow.plans.quality_report import flow_report, snapshot_report, unmatch
 from tallyflow.plans.snapshots import area_day_table, area_month_table
 from tallyflow.session import stage_path, staged
 from tallyflow.streaming.running_counts import daily_counts, keep_updated, latest_counts
+from tallyflow.streaming.running_days import keep_days_updated, latest_days, running_totals
 
 NATIONS = ["NATION_1", "NATION_5", "NATION_24"]
 ALIASES = {"NATION_1": "First Nation", "NATION_24": "Last Nation"}
@@ -169,6 +171,51 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.withColumn("day", day_text(F.col("day")))
 
 
+def streamed_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from four files, one to a micro-batch, and every second micro-batch compacts."""
+    events = table(spark, sf_dir, "events")
+    folder, out = stage_path(spark, "event-files"), stage_path(spark, "stream-counts")
+    events.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    keys = ["day", "event_type"]
+    counts = daily_counts(stream, "ts", ["event_type"])
+    keep_updated(counts, f"{out}/rows", f"{out}/checkpoint", keys, compact_every=2).awaitTermination()
+    return latest_counts(spark, f"{out}/rows", keys).withColumn("day", day_text(F.col("day")))
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The country-day table from reports that come in no order, file by file."""
+    folder, out = stage_path(spark, "report-files"), stage_path(spark, "stream-days")
+    rows = reports(spark, sf_dir)
+    rows.repartition(5).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    totals = running_totals(stream, RETAIL)
+    keep_days_updated(totals, f"{out}/rows", f"{out}/checkpoint", RETAIL, compact_every=3).awaitTermination()
+    return latest_days(spark, f"{out}/rows", RETAIL).withColumn("date", day_text(F.col("date")))
+
+
+def misspelt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names and types of all parts, and the same with a letter left out, doubled, or words exchanged."""
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.concat_ws(" ", "p_name", "p_type").alias("known")).distinct()
+    name, at = F.col("known"), F.ascii(F.substring("known", 3, 1)) % (F.length("known") - 4) + 2
+    rest = F.substr(name, at + 1, F.length(name))
+    words = F.split(name, " ")
+    typos = F.array(
+        F.concat(F.substr(name, F.lit(1), at - 1), rest),
+        F.concat(F.substr(name, F.lit(1), at), F.substr(name, at, F.lit(1)), rest),
+        F.concat_ws(", ", F.element_at(words, -1), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")),
+    )
+    return known, known.select(F.explode(typos).alias("name"), "known").filter("name <> known").distinct()
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest known name of each misspelt one."""
+    known, wrong = misspelt(spark, sf_dir)
+    found = name_candidates(wrong, "name", known, "known")
+    return found.select("name", "candidate", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     "country_in_filter": chosen_countries,
     "alias_mapping": aliased_countries,
@@ -187,8 +234,12 @@ QUERIES = {
     "snapshot_monthly": monthly,
     "snapshot_monthly_last": monthly_last,
     "stream_daily_counts": streamed_counts,
+    "stream_daily_counts_compacted": streamed_compacted,
+    "stream_day_changes": streamed_days,
+    "name_candidates": candidates,
 }
 
+PLAIN = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
 ABNORMAL = "stamp IS NULL OR year(stamp) NOT BETWEEN 1996 AND 2000"
 STAMPED = "o_orderkey, strftime(stamp, '%Y-%m-%d') AS stamp, area, price"
 DAILY = """
@@ -273,12 +324,22 @@ QUALITY_LINES = [
     ),
     f"""SELECT DISTINCT 'unmatched_name' AS section, {ALIASED} AS metric, 1.0::DOUBLE AS value
     FROM {CUSTOMERS} WHERE {ALIASED} <> n_name""",
+    f"""SELECT 'name_candidate' AS section, name || ' is ' || n_name AS metric, round(1 - edits / longer, 6) AS value FROM (
+        SELECT name, n_name, levenshtein(a, b) AS edits, greatest(length(a), length(b)) AS longer FROM (
+            SELECT DISTINCT {ALIASED} AS name, {PLAIN.format(x=ALIASED)} AS a FROM {CUSTOMERS} WHERE {ALIASED} <> n_name) AS u
+        CROSS JOIN (SELECT n_name, {PLAIN.format(x='n_name')} AS b FROM nation) AS k) AS p
+    WHERE edits < longer AND edits <= greatest(longer // 4, least(longer // 2, 2), 1)
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY 1 - edits / longer DESC, n_name) = 1""",
     """SELECT * FROM (
         SELECT 'abnormal_day' AS section, strftime(day, '%Y-%m-%d') || ' ' || area AS metric,
                CAST(report_rows AS DOUBLE) AS value
         FROM totals WHERE year(day) NOT BETWEEN 1996 AND 2000 ORDER BY day, area LIMIT 10) AS a""",
 ]
 
+EVENT_COUNTS = """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n
+        FROM events GROUP BY 1, 2"""
+
 SQL = {
     "country_in_filter": f"""
         SELECT c_custkey, n_name AS country, c_mktsegment FROM {CUSTOMERS}
@@ -328,7 +389,22 @@ SQL = {
         arg_max_null(active, day) AS "Active_cumulative"
         FROM days GROUP BY 1, 2"""
     ),
-    "stream_daily_counts": """
-        SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n
-        FROM events GROUP BY 1, 2""",
+    "stream_daily_counts": EVENT_COUNTS,
+    "stream_daily_counts_compacted": EVENT_COUNTS,
+    "stream_day_changes": sql(DAILY),
+    "name_candidates": f"""
+        WITH known AS (SELECT DISTINCT p_name || ' ' || p_type AS known FROM part),
+        typos AS (SELECT known, ascii(known[3]) % (length(known) - 4) + 2 AS pos FROM known),
+        wrong AS (
+            SELECT DISTINCT name FROM (SELECT known, unnest([
+                substr(known, 1, pos - 1) || substr(known, pos + 1), substr(known, 1, pos) || known[pos] || substr(known, pos + 1),
+                split_part(known, ' ', -1) || ', ' || substr(known, 1, length(known) - length(split_part(known, ' ', -1)) - 1)]) AS name
+            FROM typos) AS t WHERE name <> known),
+        pairs AS (
+            SELECT name, known AS candidate, levenshtein(a, b) AS edits, greatest(length(a), length(b)) AS longer
+            FROM (SELECT name, {PLAIN.format(x='name')} AS a FROM wrong) AS w
+            CROSS JOIN (SELECT known, {PLAIN.format(x='known')} AS b FROM known) AS k)
+        SELECT name, candidate, round(1 - edits / longer, 6) AS score FROM pairs
+        WHERE edits < longer AND edits <= greatest(longer // 4, least(longer // 2, 2), 1)
+        QUALIFY row_number() OVER (PARTITION BY name ORDER BY 1 - edits / longer DESC, candidate) = 1""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,8 @@ from tallyflow.functions.calendar import month_of_number
 from tallyflow.functions.columns import named
 from tallyflow.functions.text import areas_label
 from tallyflow.operators.deltas import step_changes
-from tallyflow.operators.filters import renamed_areas
+from tallyflow.operators.filters import renamed_areas, with_values
+from tallyflow.operators.lookups import splittable, unique_by
 from tallyflow.operators.reshape import long_days, long_stats
 from tallyflow.operators.rollups import area_month_series, recombined, total_by
 from tallyflow.schemas import (
@@ -26,6 +27,9 @@ from tallyflow.schemas import (
 from tallyflow.sources import readers
 from tallyflow.sources.sinks import RESULT_PARTITIONS
 
+# Pairs of names, in a mapping or in a table of area and known_as.
+Aliases = Mapping[str, str] | DataFrame
+
 PAIR_KEYS = (
     "year_month",
     "destination_country",
@@ -65,28 +69,81 @@ def destination_flows(pairs: DataFrame) -> DataFrame:
     return total_by(pairs, keys, ["flight_count"]).drop("destination_country_code")
 
 
+LEVELS = {
+    "pair": ("origin_country", "origin_country_code", "end_country", "destination_country_code"),
+    "destination": ("end_country", "destination_country_code"),
+    "origin": ("origin_country", "origin_country_code"),
+    "all": (),
+}
+
+
+def flow_hierarchy(pairs: DataFrame) -> DataFrame:
+    """Flow counts of every level in one pass over the counts per month and pair.
+
+    Levels are pairs of countries, destinations, origins and all together, each per
+    month and over all months; ``level`` and ``period`` (month, all) name them, and columns
+    that a level leaves out are NULL. Levels are told apart by ``grouping_id``, not by
+    NULLs. The counts are expanded to eight rows each before the aggregate, so hand in
+    pairs, not raw flows.
+    """
+    columns = ["month", *LEVELS["pair"]]
+    sets = {(level, period): [*(["month"] if period == "month" else []), *keys] for level, keys in LEVELS.items() for period in ("month", "all")}
+    # A bit of the id is set where a column is left out, the first column's bit first.
+    ids = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for name, keys in sets.items()}
+
+    def label(part: int):
+        chosen = F.lit(None).cast("string")
+        for name, number in ids.items():
+            chosen = F.when(F.col("_id") == number, F.lit(name[part])).otherwise(chosen)
+        return chosen
+
+    known = with_values(pairs, columns)
+    counted = known.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *columns).agg(
+        F.grouping_id().alias("_id"), F.sum("flight_count").alias("flight_count")
+    )
+    return counted.select(label(0).alias("level"), label(1).alias("period"), *columns, "flight_count")
+
+
 def cases_with_flows(
     cases: DataFrame,
     flows: DataFrame,
     area: str | None = None,
     destination: str | None = None,
     flow_value: str = "flight_count",
+    aliases: Aliases = AREA_ALIASES,
 ) -> DataFrame:
     """Months of the cases, with the flows into the destination or NULL.
 
     ``area`` picks one country on the side of the cases; its name on the side
-    of the flows is ``destination``, or follows from the alias table. Without
-    ``area`` each country meets the flows into itself.
+    of the flows is ``destination``, or follows from ``aliases``. Without
+    ``area`` each country meets the flows into itself. ``aliases`` are pairs in a
+    mapping, or in a table such as ``readers.alias_table`` reads, which is joined.
     """
     flows = flows.select("month", "end_country", named(flow_value))
     if area is None:
-        keyed = cases.withColumn("end_country", renamed_areas(F.col("country"), AREA_ALIASES))
+        keyed = with_known_names(cases, "country", aliases, "end_country")
         return keyed.join(flows, ["month", "end_country"], "left").drop("end_country")
-    wanted = destination or AREA_ALIASES.get(area, area)
+    if destination is None and isinstance(aliases, DataFrame):
+        # One name, looked up in the table by the same join.
+        names = cases.sparkSession.createDataFrame([(area,)], "country STRING")
+        wanted = with_known_names(names, "country", aliases, "end_country").select("end_country")
+        one = flows.join(wanted, "end_country").drop("end_country")
+        return cases.filter(F.col("country") == area).join(one, "month", "left")
+    wanted = destination or dict(aliases).get(area, area)
     one = flows.filter(F.col("end_country") == wanted).drop("end_country")
     return cases.filter(F.col("country") == area).join(one, "month", "left")
 
 
+def with_known_names(df: DataFrame, name: str, aliases: Aliases, new: str) -> DataFrame:
+    """Adds ``new``, the name in the other naming system or the name itself."""
+    if not isinstance(aliases, DataFrame):
+        return df.withColumn(new, renamed_areas(named(name), dict(aliases)))
+    # One row per name, so that a repeated alias does not multiply rows.
+    table = unique_by(aliases, "area", "known_as").select(F.col("area").alias("_area"), F.col("known_as").alias("_known_as"))
+    joined = df.join(splittable(table), named(name) == F.col("_area"), "left")
+    return joined.withColumn(new, F.coalesce("_known_as", named(name))).drop("_area", "_known_as")
+
+
 def marts(
     cases: DataFrame,
     focus_cases: DataFrame,
@@ -94,10 +151,12 @@ def marts(
     area: str = "US",
     spec: SnapshotSpec = SnapshotSpec(),
     combine: str = "sum",
+    aliases: Aliases = AREA_ALIASES,
 ) -> dict[str, DataFrame]:
     """Six tables from the monthly rows of all batches; lazy throughout.
 
-    ``combine`` says what two batches with the same month mean: parts of it to
+    ``aliases`` are names of areas in the flows where they differ from the cases', as
+    for :func:`cases_with_flows`. ``combine`` says what two batches with the same month mean: parts of it to
     add up (``sum``), or the same rows twice, of which the larger counts (``max``).
     """
     all_cases = monthly_cases(cases, spec, combine)
@@ -106,7 +165,7 @@ def marts(
     ends = destination_flows(pairs)
     keys = ["country", "month"]
     return {
-        "focus_with_flows": cases_with_flows(one_area, ends, area),
+        "focus_with_flows": cases_with_flows(one_area, ends, area, aliases=aliases),
         "destination_flows": ends,
         "monthly_cases": all_cases,
         "cases_long": long_stats(all_cases, keys, spec.month_stats),
@@ -122,6 +181,7 @@ def marts_from_csv(
     flows: str | Sequence[str],
     area: str = "US",
     combine: str = "sum",
+    aliases: Aliases = AREA_ALIASES,
 ) -> dict[str, DataFrame]:
     """From monthly CSV files; each argument is a glob, a URI or a list.
 
@@ -134,6 +194,7 @@ def marts_from_csv(
         readers.read_flow_counts(spark, flows),
         area,
         combine=combine,
+        aliases=aliases,
     )
 
 
@@ -143,6 +204,7 @@ def marts_from_results(
     area: str = "US",
     spec: SnapshotSpec = SnapshotSpec(),
     combine: str = "sum",
+    aliases: Aliases = AREA_ALIASES,
 ) -> dict[str, DataFrame]:
     """From the datasets of a batch run that had ``area`` as its only choice.
 
@@ -167,6 +229,7 @@ def marts_from_results(
         area,
         spec,
         combine,
+        aliases,
     )
 
 

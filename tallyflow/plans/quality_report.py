@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions.calendar import day_text
 from tallyflow.functions.columns import named
 from tallyflow.operators.lookups import repeated_keys, unmatched
+from tallyflow.operators.matching import name_candidates
 from tallyflow.operators.quality import abnormal_sample, day_audit, null_profile, report_lines
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import REJECTS, ROWS, SUPERSEDED
@@ -68,7 +69,10 @@ def flow_report(mapped: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def unmatched_names(names: DataFrame, name: str, known: DataFrame, known_name: str) -> DataFrame:
-    """Names the other table does not know: their number, and a line for each."""
+    """Names the other table does not know: their number, a line for each, and the likeliest name.
+
+    The value of a candidate's line is its score, 1 less the share of letters that differ.
+    """
     missing = unmatched(names, name, known, known_name)
     total = report_lines(missing.agg(F.count("*").alias("unmatched_names")), "names")
     each = missing.select(
@@ -76,4 +80,9 @@ def unmatched_names(names: DataFrame, name: str, known: DataFrame, known_name: s
         F.col(name).alias("metric"),
         F.lit(1.0).alias("value"),
     )
-    return total.unionByName(each)
+    likeliest = name_candidates(missing, name, known, known_name).select(
+        F.lit("name_candidate").alias("section"),
+        F.concat_ws(" is ", F.col(name), "candidate").alias("metric"),
+        F.col("score").alias("value"),
+    )
+    return union_by_name([total, each, likeliest])

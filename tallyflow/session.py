@@ -67,6 +67,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def swap_path(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder ``new`` in the place of ``path``, which is there until the last moment.
+
+    Two renames; if the second fails the old folder goes back. What a run that was killed
+    between them left aside is put back by :func:`restore_path`.
+    """
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target, aside = jvm_path(new), jvm_path(path), jvm_path(aside_of(path))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    old = files.exists(target)
+    if old:
+        files.delete(aside, True)
+        files.rename(target, aside)
+    if not files.rename(source, target):
+        if old:
+            files.rename(aside, target)
+        raise OSError(f"cannot rename {new} to {path}")
+    if old:
+        files.delete(aside, True)
+
+
+def restore_path(spark: SparkSession, path: str) -> None:
+    """Puts back the folder that a swap was killed over, if there is one and nothing in its place."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = jvm_path(path), jvm_path(aside_of(path))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(aside) and not files.exists(target):
+        files.rename(aside, target)
+
+
+def aside_of(path: str) -> str:
+    """A place beside a folder that readers of its parent pass over."""
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    return f"{parent}/_aside-{name}"
+
+
 def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Writes a table to the shared folder, or to ``folder``, and reads it back.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.calendar import month_text, utc_day
+from tallyflow.session import drop_path, restore_path, stage_path, swap_path
 
 RESULT_PARTITIONS = ("areas", "batch")
 
@@ -24,12 +25,20 @@ def write_batch(
     """Writes a result as the partition ``areas=.../batch=...`` of a dataset.
 
     A rerun of the same batch replaces its own partition and no other, also if
-    it has no rows. Batches are written to directories of their own, so two of
-    them can run at once.
+    it has no rows. The new one is written beside and put in its place when it is
+    complete, so a rerun that fails leaves the old one. Batches are written to
+    directories of their own, so two of them can run at once.
     """
     if sort:
         df = df.orderBy(*sort)
-    df.write.mode("overwrite").parquet(partition_path(path, areas=areas, batch=batch))
+    spark, place = df.sparkSession, partition_path(path, areas=areas, batch=batch)
+    restore_path(spark, place)
+    beside = stage_path(spark, "_new", path)
+    try:
+        df.write.parquet(beside)
+        swap_path(spark, beside, place)
+    finally:
+        drop_path(spark, beside)
 
 
 def partition_path(path: str, **values: str) -> str:

@@ -8,8 +8,7 @@ of other periods, and without a watermark those still reach their day.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -52,30 +51,36 @@ def keep_updated(
     keys: Sequence[str] = (),
     compact_every: int = 0,
     trigger: dict[str, object] | None = None,
+    revise: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Writes the changed counts of each micro-batch below ``path``.
+    """Writes the changed values of each micro-batch below ``path``.
 
     A micro-batch that is run again replaces its own directory, or after a restart
     counts instead of it, so a failure between writing and committing leaves no
-    double. Directories carry the time of the query's start: with a lost checkpoint
-    a new query numbers its micro-batches from 0, and the later query counts.
-    Every ``compact_every`` micro-batches the newest value of each of ``keys`` so
-    far is written as one of them, and older ones need not be read any more.
+    double. Directories carry the number of the query, one more than the largest
+    that is stored there: with a lost checkpoint a new query numbers its
+    micro-batches from 0, and the later query counts, whatever a clock says.
+    Every ``compact_every`` micro-batches the newest values of each of ``keys`` so
+    far are written as one of them, and older ones need not be read any more.
+    ``revise`` makes what is written from the changed rows and the newest rows before.
     ``trigger`` is handed to Spark; without one, all there is gets processed.
     """
-    spark, started = counts.sparkSession, f"{time.time_ns():020d}"
+    spark = counts.sparkSession
+    started = next_query(spark, path)
 
     def save(changed: DataFrame, batch_id: int) -> None:
         whole = bool(compact_every) and batch_id % compact_every == compact_every - 1
-        if whole and batch_id:
-            columns = changed.columns
-            value = next(c for c in columns if c not in keys)
+        if whole or revise:
             order = F.lit(batch_id)
-            older = latest_rows(spark, path, changed).filter((F.col(STARTED) != started) | (F.col(BATCH) < order))
-            newest = older.select(*columns, STARTED, BATCH).unionByName(
-                changed.withColumns({STARTED: F.lit(started), BATCH: order.cast("long")})
-            )
-            changed = newest_values(newest, keys, value)
+            like = changed if revise is None else revise(changed, spark.createDataFrame([], changed.schema))
+            older = latest_rows(spark, path, like).filter((F.col(STARTED) != started) | (F.col(BATCH) < order))
+            if revise:
+                changed = revise(changed, newest_values(older, keys))
+            if whole:
+                newest = older.drop(WHOLE).unionByName(
+                    changed.withColumns({STARTED: F.lit(started), BATCH: order.cast("long")})
+                )
+                changed = newest_values(newest, keys)
         changed.write.mode("overwrite").parquet(
             f"{path}/{WHOLE}={str(whole).lower()}/{STARTED}={started}/{BATCH}={batch_id}"
         )
@@ -108,15 +113,35 @@ def latest_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return rows.filter((F.col(STARTED) > newest[STARTED]) | same)
 
 
-def newest_values(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return rows.groupBy(*[named(k) for k in keys]).agg(
-        F.max_by(named(value), F.struct(STARTED, BATCH)).alias(value)
+def newest_values(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest values of each key among rows of :func:`latest_rows`."""
+    values = [c for c in rows.columns if c not in (*keys, WHOLE, STARTED, BATCH)]
+    newest = F.max_by(F.struct(*[named(v) for v in values]), F.struct(STARTED, BATCH))
+    grouped = rows.groupBy(*[named(k) for k in keys]).agg(newest.alias("_newest"))
+    return grouped.select(
+        *[named(k) for k in keys], *[F.col("_newest").getField(v).alias(v) for v in values]
     )
 
 
+def next_query(spark: SparkSession, path: str) -> str:
+    """The number of a new query on ``path``, as text of even width; read from directory names."""
+    try:
+        last = spark.read.schema(f"{WHOLE} BOOLEAN, {STARTED} STRING, {BATCH} LONG").parquet(path).agg(F.max(STARTED)).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return f"{int(last or 0) + 1:020d}"
+
+
+def latest_values(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key among all micro-batches."""
+    changes = spark.read.parquet(path).drop(WHOLE, STARTED, BATCH)
+    return newest_values(latest_rows(spark, path, changes), keys)
+
+
 def latest_counts(
     spark: SparkSession, path: str, keys: Sequence[str], value: str = "n"
 ) -> DataFrame:
     """The newest value of each key among all micro-batches."""
-    changes = spark.read.parquet(path).drop(WHOLE, STARTED, BATCH)
-    return newest_values(latest_rows(spark, path, changes), keys, value)
+    return latest_values(spark, path, keys).select(*[named(k) for k in keys], named(value))
