@@ -44,6 +44,8 @@ BASE, LENGTH = 5, 20
 GRAMS = LENGTH - BASE + 1
 NO_KEY = -(1 << 63)
 PLACE = np.uint64((1 << 24) - 1)
+# Windows whose anchors are found at once; their places, counted from the first, fit PLACE.
+RUN = 1 << 22
 SCHEMA = "part long, row long, doc_id long, text string, marks binary"
 ENTRY = np.dtype([("token", "<u8"), ("more", "<u4"), ("row", "<i8"), ("doc_id", "<i8"), ("start", "<i4"), ("count", "u1")])
 MARK = np.dtype([("row", "<i8"), ("start", "<i4")])
@@ -66,14 +68,18 @@ class Sequence:
 
     def anchors(self) -> np.ndarray:
         """For each window of 20 words, the place of its window of 5 with the smallest hash."""
-        if not len(self.windows):
-            return self.windows
-        low = (self.grams & ~PLACE) | np.arange(len(self.grams), dtype=np.uint64)
-        step = 1
-        while step < GRAMS:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        return (low[self.windows] & PLACE).astype(np.int64)
+        n = max(0, len(self.grams) - GRAMS + 1)
+        anchor = np.empty(n, np.int64)
+        for a in range(0, n, RUN):
+            b = min(a + RUN, n)
+            grams = self.grams[a : b + GRAMS - 1]
+            low = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+            step = 1
+            while step < GRAMS:
+                low = np.minimum(low[:-step], low[step:])
+                step *= 2
+            anchor[a:b] = (low & PLACE).astype(np.int64) + a
+        return anchor[self.windows]
 
     def marked(self, marks: pa.Array) -> np.ndarray:
         """Places of the starts that ``marks`` holds for each text."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tallyflow.llm import block_naming, jaccard_join, repeated_passages
@@ -82,6 +83,28 @@ def test_near_copies_in_a_chain_that_no_centre_reaches(table):
     same(jaccard_join.near_copies(table(rows)), ["doc_id", "n_shingles", "component_id"], want)
 
 
+def sequence_of(grams):
+    seq = repeated_passages.Sequence.__new__(repeated_passages.Sequence)
+    seq.grams, seq.windows = grams, np.arange(len(grams) - repeated_passages.GRAMS + 1)
+    return seq
+
+
+def test_anchors_of_more_words_than_a_place_has_bits_for(monkeypatch):
+    """Each anchor lies in its window, and equal windows have equal anchors wherever they are."""
+    n = (1 << 24) + 100_000
+    grams = np.random.default_rng(2).integers(0, 1 << 63, n, dtype=np.uint64)
+    grams[-50_000:] = grams[1000:51_000]
+    grams[1 << 22 : (1 << 22) + 40] = 7  # ties across the end of a run
+    grams[5000:5040] = 7
+    found = sequence_of(grams).anchors() - np.arange(n - 15)
+    assert found.min() >= 0 and found.max() < 16
+    assert np.array_equal(found[n - 50_000 : n - 15], found[1000 : 51_000 - 15])
+    assert np.array_equal(found[1 << 22 : (1 << 22) + 25], found[5000:5025])
+    short = grams[:20_000]
+    monkeypatch.setattr(repeated_passages, "RUN", 37)
+    assert np.array_equal(sequence_of(short).anchors() - np.arange(len(short) - 15), found[: len(short) - 15])
+
+
 def test_empty_table(table):
     none = table([(1, "x", "s")]).filter("doc_id > 1")
     assert block_naming.find_copies(none).count() == 0
