@@ -164,6 +164,9 @@ def find_copies(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")
     )
+    # Written first: Spark can split the rows of a large group only where both sides
+    # of the join are shuffled for it, and the aggregate would be joined as it lies.
+    groups = staged(groups, "copy-groups")
     return rows.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("last.doc_id").alias("keep_id"),
