@@ -12,12 +12,13 @@ So a source's words miss its target by less than one document, and mostly by les
 than a small one: documents trade in order of size, and one much larger than the
 next trades with all smaller ones of its chunk at once.
 
-Chunks are cut by a hash of the key, so a source with a third of all rows is many
-chunks. All draws come from hashes of the key: reruns agree.
+Chunks are cut by a hash of key and text, so a source with a third of all rows is many
+chunks, as are rows without a key. All draws come from that hash: reruns agree,
+wherever the rows are stored. Rows that take nothing wait for no draw.
 
 Defined results: null text has size 0; documents of size 0 take nothing; the null
 source is a source and comes last. Rows with the same or no key are ordered by
-size; equal ones share their fate only by chance of the order they are met in.
+size; those with the same text too meet in one chunk, in the order of their rows.
 With no words at all, targets are 0.
 """
 
@@ -37,9 +38,11 @@ COIN = float(1 << 20)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source and size (words) of every row."""
+    """row, doc_id, source, size (words) and mark (of key and text) of every row."""
     count = F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long")
-    return numbered(docs, "doc_id", "source", "text").select("row", "doc_id", "source", F.coalesce(count, F.lit(0).cast("long")).alias("size"))
+    return numbered(docs, "doc_id", "source", "text").select(
+        "row", "doc_id", "source", F.coalesce(count, F.lit(0).cast("long")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -154,22 +157,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0.0))
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.col("copies") - F.col("whole"))
-        .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
+        .withColumn("draw", F.xxhash64(F.lit(seed), "mark"))
         .withColumn("coin", F.lit(0.0))
-        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.ceil(F.col("source_rows") / chunk_rows)))
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 2), "mark"), F.ceil(F.col("source_rows") / chunk_rows)))
         .drop("copies", "source_rows")
     )
 
     def tossed(df: DataFrame, turn: int) -> DataFrame:
         """New coins for every level of the tree."""
-        value = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(turn), "doc_id", "size"), F.lit(1 << 40))
+        value = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(turn), "mark"), F.lit(1 << 40))
         return df.withColumn("coin", value / float(1 << 40))
 
     turn = 0
     open_part = (F.col("part") > 0) & (F.col("part") < 1)
     schema = rows.schema
-    level = staged(tossed(rows, turn).groupBy("name", "chunk").applyInPandas(settle_chunk, schema), "mix-chunks")
-    closed = [level.filter(~open_part)]
+    # Only fractions are traded; all else, such as any number of empty rows, is settled.
+    level = staged(tossed(rows.filter(open_part), turn).groupBy("name", "chunk").applyInPandas(settle_chunk, schema), "mix-chunks")
+    closed = [rows.filter(~open_part), level.filter(~open_part)]
     left = level.filter(open_part)
     while chunks > 1:
         chunks, turn = -(-chunks // FAN_IN), turn + 1

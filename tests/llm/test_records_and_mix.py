@@ -97,6 +97,17 @@ def test_mix(table, odd_rows, seed):
     assert sorted(map(repr, got)) == sorted(map(repr, source_mix.mix(docs, chunk_rows=16).collect()))
 
 
+def test_rows_without_a_key_are_dealt_out_by_their_texts(table):
+    """A third of the rows has no key, all of one size; their draws and chunks differ like those of others."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} x y", "s") for i in range(900)] + [(None, None, "s")] * 200
+    docs = table(rows)
+    marks = [r["mark"] for r in source_mix.sized(docs).filter("doc_id IS NULL AND size > 0").select("mark").collect()]
+    assert len(set(marks)) == 300
+    got = source_mix.mix(docs, chunk_rows=16).collect()
+    taken = sum(r["taken"] for r in got if r["doc_id"] is None)
+    assert len(got) == 1100 and sum(r["taken"] for r in got) == 2700 and taken == 900
+
+
 def test_mix_of_nothing(table):
     docs = table([(1, "", "a"), (2, None, None)])
     assert {(r["taken"], r["target"]) for r in source_mix.mix(docs).collect()} == {(0, 0.0)}
@@ -157,5 +168,5 @@ def test_pipeline_over_odd_rows(spark, table, odd_rows):
 
 def test_every_operator_is_registered():
     names = [n for n in entry_module.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(names) == 11 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert len(names) == 11 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
     assert "op7_exact_dedup" in entry_module.oracle_sql()
