@@ -51,6 +51,7 @@ FREQUENT = 32
 PIECES = 4
 # Documents in a chunk of a large block, and frequent shingles counted at a time.
 CHUNK = 768
+TOKENS = 1 << 21
 FRAGMENT = 1024
 PAIRS_AT_ONCE = 1 << 19
 
@@ -329,7 +330,7 @@ def star_links(keys: DataFrame, cut: DataFrame) -> DataFrame:
 
     One comparison for each document at most, however large its groups are.
     """
-    centres = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("centre"))
+    centres = staged(keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("centre")), "centres")
     pairs = (
         keys.join(centres, "key")
         .filter("row != centre.row")
@@ -359,7 +360,7 @@ def open_blocks(keys: DataFrame, labels: DataFrame) -> DataFrame:
     groups = banded.groupBy("key", "band").agg(
         F.min("row").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    split = banded.join(groups.filter("low < high"), ["key", "band"])
+    split = banded.join(staged(groups.filter("low < high"), "open-groups"), ["key", "band"])
     edges = staged(split.filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), "block-edges")
     blocks = components(edges).withColumnRenamed("label", "block")
     return staged(with_labels(blocks, labels), "blocks")
@@ -368,19 +369,27 @@ def open_blocks(keys: DataFrame, labels: DataFrame) -> DataFrame:
 def tiles(blocks: DataFrame) -> DataFrame:
     """row and tile: which documents are compared with which.
 
-    The largest label of a block needs no comparison with itself. All others are
-    cut into chunks, and every pair of chunks is a tile, like every pair of one of
-    them and a chunk of the largest label. Small blocks are one tile.
+    ``blocks`` has row, n (shingles), label and block. The largest label of a block
+    needs no comparison with itself. All others are cut into chunks, and every pair
+    of chunks is a tile, like every pair of one of them and a chunk of the largest
+    label. Small blocks are one tile. A chunk has about ``CHUNK`` documents, or fewer
+    long ones with about ``TOKENS`` shingles.
     """
-    counts = blocks.groupBy("block", "label").agg(F.count("*").alias("n_label"))
-    sizes = counts.groupBy("block").agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("n_block"))
+    counts = blocks.groupBy("block", "label").agg(F.count("*").alias("n_label"), F.sum("n").alias("tokens"))
+    sizes = staged(
+        counts.groupBy("block").agg(
+            F.max(F.struct("n_label", "label", "tokens")).alias("top"), F.sum("n_label").alias("n_block"), F.sum("tokens").alias("all_tokens")
+        ),
+        "block-sizes",
+    )
+    parts = lambda rows, tokens: F.ceil(F.greatest(rows / CHUNK, tokens / TOKENS))
     sized = (
         blocks.join(sizes, "block")
         .withColumn("main", F.col("label") == F.col("top.label"))
-        .withColumn("mains", F.ceil(F.col("top.n_label") / CHUNK))
-        .withColumn("others", F.ceil((F.col("n_block") - F.col("top.n_label")) / CHUNK))
-        .withColumn("whole", F.col("n_block") <= 2 * CHUNK)
-        .filter("others > 0")
+        .withColumn("mains", parts(F.col("top.n_label"), F.col("top.tokens")))
+        .withColumn("others", parts(F.col("n_block") - F.col("top.n_label"), F.col("all_tokens") - F.col("top.tokens")))
+        .withColumn("whole", (F.col("n_block") <= 2 * CHUNK) & (F.col("all_tokens") <= 2 * TOKENS))
+        .filter("n_block > top.n_label")
     )
     chunk = F.pmod(F.xxhash64("row"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -468,6 +477,7 @@ def candidate_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     release(sets.sparkSession)
     blocks = open_blocks(keys, components(links))
     release(sets.sparkSession)
+    blocks = staged(blocks.join(sets.select("row", "n"), "row"), "sized-blocks")
     spread = sets.select("row", "n", "tokens").join(tiles(blocks), "row").select("tile", "row", "n", "tokens")
     more = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_links, "a long, b long")
     return components(staged(links.unionByName(more), "all-links"))
@@ -484,13 +494,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # A set whose shingles are all shared may equal another one.
     digest = F.when(F.col("n") * 8 == F.length("tokens"), F.sha2("tokens", 256)).otherwise(F.concat(F.lit("row "), "row"))
     named = staged(open_sets.select("row", digest.alias("digest")), "set-digests")
-    first = named.groupBy("digest").agg(F.min("row").alias("first"))
+    first = staged(named.groupBy("digest").agg(F.min("row").alias("first")), "first-of-sets")
     firsts = staged(named.join(first, "digest").select("row", "first"), "set-classes")
     labels = candidate_links(open_sets, firsts.filter("row = first").select("row"))
     member = firsts.join(labels.withColumnRenamed("row", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("first"))
     labelled = rows.select("doc_id", "row", "n").join(member, "row", "left").withColumn("label", F.coalesce("first", "row"))
+    labelled = staged(labelled, "labelled")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    smallest = labelled.groupBy("label").agg(F.min(order).alias("first_of"))
+    # Written, like other aggregates here that rows of a large group are joined with:
+    # Spark splits a hot key only where both sides are shuffled for the join.
+    smallest = staged(labelled.groupBy("label").agg(F.min(order).alias("first_of")), "first-of-classes")
     return labelled.join(smallest, "label").select(
         "doc_id",
         "row",

@@ -64,9 +64,10 @@ def test_repeated_passages(table, rows):
     same(df, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.without_repeats(plain))
 
 
-@pytest.mark.parametrize("chunk", [768, 3])
-def test_near_copies(table, rows, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, tokens", [(768, 1 << 21), (3, 1 << 21), (768, 400)])
+def test_near_copies(table, rows, chunk, tokens, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "TOKENS", tokens)
     plain = [(k, t) for k, t, _ in rows]
     want, groups = brute.classes(plain)
     df = jaccard_join.near_copies(table(rows))
