@@ -1,78 +1,120 @@
 """An adaptive context-mixing range coder for token ids, for many blocks side by side.
 
-Three contexts predict the next id of a block: none, the last id and the last two.
-Each keeps one candidate with a confidence, and a learned probability that a
-candidate of that confidence is right. The probabilities are mixed by reliability
-into frequencies for the different candidates and an escape, and drive a range
-coder; an escaped id is coded by the adaptive frequency of its high bits and by
-its low bits as they are.
-
-Blocks know nothing of each other. So thousands of them are coded in step, one id
-of each at a time in numpy, and each can be decoded alone. All arithmetic is in
+A block starts with its alphabet, the different ids it holds, in ascending order. From then on an id is its place in the alphabet, and three predictions of
+the next place are mixed:
+
+* order 0: a frequency for every place of the alphabet, 1 at first and raised each
+  time the place occurs, so a real distribution that adapts from id to id;
+* order 1 and order 2: the place that last followed the same place, or the same two,
+  with a confidence and a learned probability that such a candidate is right.
+
+The candidates' probabilities are mixed by reliability, and what they leave is
+divided by the frequencies of order 0. These are kept in two levels, groups of
+places and places within a group, each as running sums: a step adds to a few short
+rows and never goes through the alphabet.
+
+Blocks know nothing of each other. So many of them are coded in step, one id of
+each at a time in numpy, and each can be decoded alone. All arithmetic is in
 integers. The coder writes 16-bit digits; carries are settled at the end.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 TOP, LOW_END = np.uint64(48), np.uint64(1 << 32)
 MASK = np.uint64((1 << 48) - 1)
-CHANCE_BITS, HIGH_BITS = 12, 4
-SLOTS = (1, 1 << 10, 1 << 10)  # by order
+CHANCE_BITS = 12
+CHANCE = 1 << CHANCE_BITS
+# An alphabet fits the groups; a block is so short that its frequencies fit 16 bits.
+MOST_IDS = 2048
+GROUP = 32
+GROUPS = MOST_IDS // GROUP
+RAISE = 2
+LONGEST = ((1 << 16) - 1 - MOST_IDS) // RAISE
+# Slots of the table of candidates of a block, for order 1 and for order 2.
+SLOTS = 1024
+HEAD = struct.Struct("<HB")  # ids of the alphabet, and their low bits
 U = np.uint64
+# What an occurrence adds to running sums: to all that end after it.
+ADDED = {n: (np.arange(n + 1) > np.arange(n)[:, None]).astype(np.uint16) * np.uint16(RAISE) for n in (GROUPS, GROUP)}
 
 
 class Model:
-    """Predictions for one id of each of ``lanes`` blocks, and what is learned from it."""
+    """Predictions of the next place in each of some blocks, and what is learned from it."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, alphabets: np.ndarray):
+        lanes = len(alphabets)
         self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * s, np.int32) for s in SLOTS]
-        self.trust = [np.zeros(lanes * s, np.int8) for s in SLOTS]
-        self.right = [np.full(lanes * 16, 600, np.int32) for _ in SLOTS]
-        self.high = np.ones((lanes, 1 << HIGH_BITS), np.int64) * 16
+        edges = np.minimum(np.arange(GROUPS + 1) * GROUP, alphabets[:, None])
+        self.groups = edges.astype(np.uint16)
+        inside = np.clip(alphabets[:, None] - np.arange(GROUPS) * GROUP, 0, GROUP)
+        self.places = np.minimum(np.arange(GROUP + 1), inside.reshape(-1, 1)).astype(np.uint16)
+        # Both orders side by side. One more place than any alphabet has: no candidate.
+        self.guess = np.full(lanes * 2 * SLOTS, MOST_IDS, np.uint16)
+        self.trust = np.zeros(lanes * 2 * SLOTS, np.uint8)
+        self.right = np.full(lanes * 2 * 16, 600, np.int32)
+        self.at = np.empty((2, lanes), np.int64)
+        self.order = np.array([[0], [1]])
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
-    def predict(self) -> np.ndarray:
-        """Frequencies of (order 2, order 1, order 0, escape), summing to 2 ** CHANCE_BITS."""
-        lane = self.lane
-        one = ((self.last * 40503) >> 3) & (SLOTS[1] - 1)
-        two = ((self.last * 40503 + self.before * 30011) >> 2) & (SLOTS[2] - 1)
-        self.at = [lane, lane * SLOTS[1] + one, lane * SLOTS[2] + two]
-        self.seen = [g[a] for g, a in zip(self.guess, self.at)]
-        self.conf = [t[a] for t, a in zip(self.trust, self.at)]
-        self.rate_at = [lane * 16 + c for c in self.conf]
-        p = [r[a] for r, a in zip(self.right, self.rate_at)]
-        total = p[0] + p[1] + p[2] + 1
-        q0, q1, q2 = (x * x // total + 1 for x in p)
-        c0, c1, c2 = self.seen
-        same12, same02, same01 = c1 == c2, c0 == c2, c0 == c1
-        f2 = q2 + np.where(same12, q1, 0) + np.where(same02, q0, 0)
-        f1 = np.where(same12, 0, q1 + np.where(same01, q0, 0))
-        f0 = np.where(same02 | same01, 0, q0)
-        return np.stack([f2, f1, f0, (1 << CHANCE_BITS) - f2 - f1 - f0])
-
-    def which(self, ids: np.ndarray) -> np.ndarray:
-        c0, c1, c2 = self.seen
-        return np.where(ids == c2, 0, np.where(ids == c1, 1, np.where(ids == c0, 2, 3)))
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k in range(3):
-            hit = ids == self.seen[k]
-            at, rate = self.rate_at[k], self.right[k]
-            p = rate[at]
-            rate[at] = p + ((np.where(hit, 3900, 20) - p) >> 4)
-            conf = self.conf[k]
-            self.guess[k][self.at[k]] = np.where(hit | (conf > 0), self.seen[k], ids)
-            self.trust[k][self.at[k]] = np.where(hit, np.minimum(conf + 1, 15), conf >> 1)
-        self.before, self.last = self.last, ids
-
-    def learn_high(self, lanes: np.ndarray, high: np.ndarray) -> None:
-        self.high[lanes, high] += 24
-        full = lanes[self.high[lanes].sum(1) > (1 << 12)]
-        self.high[full] = (self.high[full] >> 1) + 1
+    def cut(self, n: int) -> None:
+        """From now on only the first ``n`` blocks go on."""
+        self.lane, self.last, self.before, self.groups = self.lane[:n], self.last[:n], self.before[:n], self.groups[:n]
+        self.at = self.at[:, :n]
+
+    def predict(self) -> None:
+        """Candidates of both orders and their chances out of ``CHANCE``; 0 for none."""
+        table = self.lane * (2 * SLOTS)
+        np.add(table, self.last & (SLOTS - 1), out=self.at[0])
+        np.add(table + SLOTS, (self.last * 40503 + self.before * 30011 >> 2) & (SLOTS - 1), out=self.at[1])
+        self.seen = self.guess.take(self.at)
+        self.conf = self.trust.take(self.at)
+        self.rate_at = (self.lane * 2 + self.order) * 16 + self.conf
+        self.rate = self.right.take(self.rate_at)
+        self.some = self.seen < MOST_IDS
+        p = self.rate * self.some
+        total = p[0] + p[1] + 1
+        q1, q2 = p * p // total + self.some
+        self.c1, self.c2 = self.seen
+        same = self.c1 == self.c2
+        self.q2 = (q2 + q1 * same).astype(U)
+        self.q1 = (q1 * ~same).astype(U)
+
+    def split(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ranges in units: that of the order-2 candidate, of both, and one count of order 0."""
+        one, both = unit * self.q2, unit * (self.q2 + self.q1)
+        return one, both, ((unit << U(CHANCE_BITS)) - both) // self.groups[:, GROUPS]
+
+    def of_group(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of a group in the running sums."""
+        start = self.groups[self.lane, group].astype(U)
+        return start, self.groups[self.lane, group + 1].astype(U) - start
+
+    def of_place(self, rows: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of a place in the running sums of its group."""
+        start = rows[self.lane, inside].astype(U)
+        return start, rows[self.lane, inside + 1].astype(U) - start
+
+    def rows_of(self, group: np.ndarray) -> np.ndarray:
+        """The running sums of a group."""
+        return self.places.take(self.lane * GROUPS + group, 0)
+
+    def learn(self, place: np.ndarray, group: np.ndarray, inside: np.ndarray, rows: np.ndarray) -> None:
+        """What came: the place, its group and its place in the group, whose running sums are ``rows``."""
+        short = place.astype(np.uint16)
+        hit = self.seen == short
+        # An empty slot says nothing about candidates of no confidence.
+        self.right[self.rate_at] = self.rate + ((hit * np.int32(3980) + np.int32(20) - self.rate) * self.some >> 4)
+        self.guess[self.at] = np.where(self.conf > 0, self.seen, short)
+        self.trust[self.at] = np.where(hit, np.minimum(self.conf + 1, 15), self.conf >> 1)
+        self.groups += ADDED[GROUPS].take(group, 0)
+        rows += ADDED[GROUP].take(inside, 0)
+        self.places[self.lane * GROUPS + group] = rows
+        self.before, self.last = self.last, place
 
 
 class Encoder:
@@ -80,19 +122,20 @@ class Encoder:
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, MASK)
         self.out, self.at = np.zeros((lanes, digits), np.uint32), np.ones(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | np.uint64) -> None:
-        r = self.range[lanes] // total
-        low = self.low[lanes] + r * start.astype(U)
-        rng = r * freq.astype(U)
-        at = self.at[lanes]
-        self.out[lanes, at - 1] += (low >> TOP).astype(np.uint32)
+    def narrow(self, add: np.ndarray, rng: np.ndarray) -> None:
+        """Keeps ``rng`` of the range of the first blocks, from ``add`` on."""
+        n = len(add)
+        low, at = self.low[:n] + add, self.at[:n]
+        over = np.flatnonzero(low > MASK)
+        self.out[over, at[over] - 1] += 1
         low &= MASK
-        small = rng < LOW_END
-        moved = lanes[small]
-        self.out[moved, at[small]] = (low[small] >> U(32)).astype(np.uint32)
-        self.at[moved] += 1
-        self.low[lanes] = np.where(small, (low << U(16)) & MASK, low)
-        self.range[lanes] = np.where(small, rng << U(16), rng)
+        moved = np.flatnonzero(rng < LOW_END)
+        self.out[moved, at[moved]] = low[moved] >> U(32)
+        low[moved] = (low[moved] << U(16)) & MASK
+        at[moved] += 1
+        self.low[:n] = low
+        rng[moved] <<= U(16)
+        self.range[:n] = rng
 
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
@@ -117,94 +160,132 @@ class Decoder:
         self.at = np.full(len(payloads), 3)
         self.range = np.full(len(payloads), MASK)
 
-    def look(self, lanes: np.ndarray, total: np.ndarray | np.uint64) -> np.ndarray:
-        self.unit = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.unit, total - U(1)).astype(np.int64)
+    def narrow(self, add: np.ndarray, rng: np.ndarray) -> None:
+        n = len(add)
+        code, at = self.code[:n], self.at[:n]
+        code -= add
+        moved = np.flatnonzero(rng < LOW_END)
+        more = self.digits[moved, np.minimum(at[moved], self.digits.shape[1] - 1)]
+        code[moved] = (code[moved] << U(16)) | more
+        at[moved] += 1
+        rng[moved] <<= U(16)
+        self.range[:n] = rng
+
+
+def packed_alphabet(ids: np.ndarray) -> bytes:
+    """Ascending different ids: their low bits side by side, and a bitmap in which the rest is counted in zeros.
+
+    Some two bits an id more than there is to tell.
+    """
+    n = len(ids)
+    low = max(0, (int(ids[-1]) // n).bit_length() - 1)
+    tails = (ids[:, None] >> np.arange(low)) & 1
+    marks = np.zeros(int(ids[-1] >> low) + n, np.uint8)
+    marks[(ids >> low) + np.arange(n)] = 1
+    return HEAD.pack(n, low) + np.packbits(tails.astype(np.uint8)).tobytes() + np.packbits(marks).tobytes()
+
 
-    def take(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        code = self.code[lanes] - self.unit * start.astype(U)
-        rng = self.unit * freq.astype(U)
-        small = rng < LOW_END
-        at = self.at[lanes]
-        more = self.digits[lanes, np.minimum(at, self.digits.shape[1] - 1)]
-        self.code[lanes] = np.where(small, (code << U(16)) | more, code)
-        self.range[lanes] = np.where(small, rng << U(16), rng)
-        self.at[lanes] = at + small
+def unpacked_alphabet(payload: bytes) -> tuple[np.ndarray, int]:
+    """The ids of a block, and where its digits start."""
+    n, low = HEAD.unpack_from(payload)
+    at = HEAD.size + (n * low + 7) // 8
+    tails = np.unpackbits(np.frombuffer(payload, np.uint8, at - HEAD.size, HEAD.size), count=n * low).reshape(n, low)
+    # The bitmap ends with the n-th mark; an id needs two bits there on average, seldom more than 16.
+    size = n // 2 + 8
+    while True:
+        bits = np.unpackbits(np.frombuffer(payload[at : at + size], np.uint8))
+        marks = np.flatnonzero(bits)
+        if len(marks) >= n or at + size >= len(payload):
+            break
+        size *= 2
+    marks = marks[:n]
+    ids = (marks - np.arange(n) << low) + tails @ (1 << np.arange(low))
+    return ids, at + int(marks[-1]) // 8 + 1
 
 
-def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
-    """One payload for each block of ids; no block is empty."""
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """One payload for each block of 1 to ``LONGEST`` ids, ``MOST_IDS`` different ones at most."""
     sizes = np.array([len(b) for b in blocks])
+    if not 0 < sizes.min() <= sizes.max() <= LONGEST:
+        raise ValueError(f"a block has 1 to {LONGEST} ids")
     order = np.argsort(-sizes, kind="stable")
     steps = int(sizes.max())
-    ids = np.zeros((len(blocks), steps), np.int64)
+    places = np.zeros((steps, len(blocks)), np.int64)
+    alphabets = []
     for i, b in enumerate(order):
-        ids[i, : sizes[b]] = blocks[b]
-    model, coder = Model(len(blocks)), Encoder(len(blocks), 3 * steps + 8)
-    chance = U(1 << CHANCE_BITS)
+        alphabet, place = np.unique(blocks[b], return_inverse=True)
+        alphabets.append(alphabet)
+        places[: sizes[b], i] = place
+    if max(map(len, alphabets)) > MOST_IDS:
+        raise ValueError(f"a block has {MOST_IDS} different ids at most")
+    model = Model(np.array([len(a) for a in alphabets]))
+    coder = Encoder(len(blocks), 2 * steps + 8)
     alive = np.searchsorted(-sizes[order], -np.arange(steps), side="left")  # blocks longer than each step
     for t in range(steps):
         n = int(alive[t])
-        lanes, now = model.lane[:n], ids[:, t]
-        freq = model.predict()
-        start = np.cumsum(freq, 0) - freq
-        chosen = model.which(now)
-        column = model.lane
-        coder.put(lanes, start[chosen, column][:n], freq[chosen, column][:n], chance)
-        out = lanes[chosen[:n] == 3]
-        if len(out):
-            high, low = now[out] >> low_bits, now[out] & ((1 << low_bits) - 1)
-            table = model.high[out]
-            ends = np.cumsum(table, 1)
-            rows = np.arange(len(out))
-            coder.put(out, ends[rows, high] - table[rows, high], table[rows, high], ends[:, -1].astype(U))
-            if low_bits:
-                coder.put(out, low, np.ones(len(out), np.int64), U(1 << low_bits))
-            model.learn_high(out, high)
-        model.learn(now)
+        if n < len(model.lane):
+            model.cut(n)
+        lanes, place = model.lane, places[t, :n]
+        model.predict()
+        group, inside = place // GROUP, place % GROUP
+        first, second = place == model.c2, place == model.c1
+        one, both, rest = model.split(coder.range[:n] >> U(CHANCE_BITS))
+        start, size = model.of_group(group)
+        add = np.where(first, U(0), np.where(second, one, both + rest * start))
+        coder.narrow(add, np.where(first, one, np.where(second, both - one, rest * size)))
+        # A candidate is known by now; of all others, the place in its group follows.
+        known = first | second
+        rows = model.rows_of(group)
+        start, size = model.of_place(rows, inside)
+        unit = coder.range[:n] // rows[:, GROUP]
+        coder.narrow(np.where(known, U(0), unit * start), np.where(known, coder.range[:n], unit * size))
+        model.learn(place, group, inside, rows)
     payloads: list[bytes] = [b""] * len(blocks)
-    for i, p in zip(order, coder.finish()):
-        payloads[i] = p
+    for i, digits, alphabet in zip(order, coder.finish(), alphabets):
+        payloads[i] = packed_alphabet(alphabet) + digits
     return payloads
 
 
-def decode_blocks(payloads: list[bytes], sizes: np.ndarray, low_bits: int) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     """The ids of each block."""
     order = np.argsort(-sizes, kind="stable")
     steps = int(sizes.max())
-    ids = np.zeros((len(payloads), steps), np.int64)
-    model, coder = Model(len(payloads)), Decoder([payloads[i] for i in order])
-    chance = U(1 << CHANCE_BITS)
+    alphabets, digits = [], []
+    for i in order:
+        alphabet, at = unpacked_alphabet(payloads[i])
+        alphabets.append(alphabet)
+        digits.append(payloads[i][at:])
+    model, coder = Model(np.array([len(a) for a in alphabets])), Decoder(digits)
+    places = np.zeros((steps, len(payloads)), np.int64)
     alive = np.searchsorted(-sizes[order], -np.arange(steps), side="left")
     for t in range(steps):
         n = int(alive[t])
-        lanes = model.lane[:n]
-        freq = model.predict()[:, :n]
-        ends = np.cumsum(freq, 0)
-        value = coder.look(lanes, chance)
-        chosen = (value >= ends[0]).astype(np.int64) + (value >= ends[1]) + (value >= ends[2])
-        f = freq[chosen, lanes]
-        coder.take(lanes, ends[chosen, lanes] - f, f)
-        now = np.zeros(len(payloads), np.int64)
-        now[:n] = np.choose(chosen, [model.seen[2][:n], model.seen[1][:n], model.seen[0][:n], 0])
-        out = lanes[chosen == 3]
-        if len(out):
-            table = model.high[out]
-            ends = np.cumsum(table, 1)
-            value = coder.look(out, ends[:, -1].astype(U))
-            high = (value[:, None] >= ends).sum(1)
-            rows = np.arange(len(out))
-            f = table[rows, high]
-            coder.take(out, ends[rows, high] - f, f)
-            low = np.zeros(len(out), np.int64)
-            if low_bits:
-                low = coder.look(out, U(1 << low_bits))
-                coder.take(out, low, np.ones(len(out), np.int64))
-            now[out] = (high << low_bits) | low
-            model.learn_high(out, high)
-        ids[:, t] = now
-        model.learn(now)
-    out_ids: list[np.ndarray] = [ids[0, :0]] * len(payloads)
+        if n < len(model.lane):
+            model.cut(n)
+        lanes = model.lane
+        model.predict()
+        code = coder.code[:n]
+        one, both, rest = model.split(coder.range[:n] >> U(CHANCE_BITS))
+        first, known = code < one, code < both
+        # Where a candidate is right, what is looked up here is not used.
+        wanted = np.minimum(np.where(known, U(0), code - both) // rest, model.groups[:, GROUPS] - U(1))
+        group = np.argmax(model.groups[:, 1:] > wanted.astype(np.uint16)[:, None], axis=1)
+        start, size = model.of_group(group)
+        add = np.where(first, U(0), np.where(known, one, both + rest * start))
+        coder.narrow(add, np.where(first, one, np.where(known, both - one, rest * size)))
+        place = np.where(first, model.c2, model.c1).astype(np.int64)
+        group = np.where(known, place // GROUP, group)
+        rows = model.rows_of(group)
+        unit = coder.range[:n] // rows[:, GROUP]
+        wanted = np.minimum(coder.code[:n] // unit, rows[:, GROUP] - U(1)).astype(np.uint16)
+        inside = np.argmax(rows[:, 1:] > wanted[:, None], axis=1)
+        inside = np.where(known, place % GROUP, inside)
+        start, size = model.of_place(rows, inside)
+        coder.narrow(np.where(known, U(0), unit * start), np.where(known, coder.range[:n], unit * size))
+        place = group * GROUP + inside
+        places[t, :n] = place
+        model.learn(place, group, inside, rows)
+    out_ids: list[np.ndarray] = [places[:0, 0]] * len(payloads)
     for i, b in enumerate(order):
-        out_ids[b] = ids[i, : sizes[b]]
+        out_ids[b] = alphabets[i][places[: sizes[b], i]]
     return out_ids

@@ -3,7 +3,7 @@
 Documents are dealt out by ranges of doc_id and sorted; every part is encoded in
 that order and written as chunks, each holding whole documents:
 
-    magic, low bits, documents, blocks                      (header)
+    magic, documents, blocks                                (header)
     doc_id, known, ids                                      (for each document)
     ids, payload bytes, crc32 of the ids                    (for each block)
     payloads
@@ -13,14 +13,18 @@ one chunk to a row, which gives them Spark's commit protocol on any storage; the
 chunk is a format of its own. What is read back comes from the chunks alone.
 
 Words between ASCII white space are encoded once by each worker and then looked
-up: the tokenizer normalises white space away and never merges across it.
+up, if the tokenizer's file says that it ignores case and white space and never merges
+across it. With any other tokenizer whole texts are encoded.
 
-Defined results: null is the empty text and has the end id only. Null keys come
-first; rows with the same key follow each other in the order of their texts.
+Defined results: keys are integers. Null is the empty text and has the end id only.
+Null keys come first; rows with the same key follow each other in the order of their
+texts. They are dealt out by the beginnings of their texts too, so one key, or
+none, may have any number of rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,13 +40,13 @@ from pyspark.sql import functions as F
 from tallyflow.llm.common import slices
 from tallyflow.llm.context_coder import decode_blocks, encode_blocks
 
-MAGIC = b"TFI1"
-HEADER = struct.Struct("<4sIII")
+MAGIC = b"TFI2"
+HEADER = struct.Struct("<4sII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("ids", "<u4")])
 BLOCK = np.dtype([("ids", "<u4"), ("bytes", "<u4"), ("crc32", "<u4")])
-BLOCK_IDS = 1024
+BLOCK_IDS = 2048
 CHUNK_IDS = 1 << 22
-IN_STEP = 4096
+IN_STEP = 1024
 REMEMBERED = 600_000
 Batches = Iterator[pa.RecordBatch]
 
@@ -60,6 +64,27 @@ def simpler(text: bytes) -> bytes:
     return text if b"<|" in text else WORD_END.sub(rb" \1", text.lower())
 
 
+# Normaliser and pre-tokenizer of the files that ``simpler`` holds for.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_spaces(file: dict) -> bool:
+    """Whether a tokenizer file ignores case and white space, so that words can be encoded one by one."""
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT}
+    # Added tokens are looked for in the text as it is; words are not cut where one may be.
+    marked = all("<|" in t["content"] for t in file.get("added_tokens") or [])
+    return file.get("normalizer") == NORMALIZER and split and steps[0].get("invert") is True and marked
+
+
 class Words:
     """The tokenizer, with the ids of words that a worker has met."""
 
@@ -68,10 +93,14 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.low_bits = max(0, (self.tokenizer.get_vocab_size() - 1).bit_length() - 4)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_spaces(json.load(file))
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, end], "<u4") for e in found]
         words = [simpler(t).split() for t in texts]
         new = [w for w in set().union(*words) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
@@ -88,7 +117,7 @@ def tokenizer(path: str) -> Words:
     return Words(path)
 
 
-def pack(keys: list[int | None], ids: list[np.ndarray], low_bits: int) -> bytes:
+def pack(keys: list[int | None], ids: list[np.ndarray]) -> bytes:
     """One chunk: documents and the blocks of their ids."""
     documents = np.zeros(len(keys), DOCUMENT)
     documents["known"] = [k is not None for k in keys]
@@ -98,18 +127,18 @@ def pack(keys: list[int | None], ids: list[np.ndarray], low_bits: int) -> bytes:
     pieces = [stream[a : a + BLOCK_IDS] for a in range(0, len(stream), BLOCK_IDS)]
     payloads: list[bytes] = []
     for a in range(0, len(pieces), IN_STEP):
-        payloads += encode_blocks(pieces[a : a + IN_STEP], low_bits)
+        payloads += encode_blocks(pieces[a : a + IN_STEP])
     blocks = np.zeros(len(pieces), BLOCK)
     blocks["ids"] = [len(p) for p in pieces]
     blocks["bytes"] = [len(p) for p in payloads]
     blocks["crc32"] = [zlib.crc32(p.astype("<u4").tobytes()) for p in pieces]
-    head = HEADER.pack(MAGIC, low_bits, len(documents), len(blocks))
+    head = HEADER.pack(MAGIC, len(documents), len(blocks))
     return b"".join([head, documents.tobytes(), blocks.tobytes(), *payloads])
 
 
 def unpack(chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Documents and the ids of all of them; a damaged block is an error."""
-    magic, low_bits, n, m = HEADER.unpack_from(chunk)
+    magic, n, m = HEADER.unpack_from(chunk)
     if magic != MAGIC:
         raise ValueError("not a chunk of token ids")
     documents = np.frombuffer(chunk, DOCUMENT, n, HEADER.size)
@@ -120,7 +149,7 @@ def unpack(chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
     payloads = [chunk[b - k : b] for b, k in zip(ends.tolist(), blocks["bytes"].tolist())]
     pieces: list[np.ndarray] = []
     for a in range(0, m, IN_STEP):
-        pieces += decode_blocks(payloads[a : a + IN_STEP], blocks["ids"][a : a + IN_STEP].astype(np.int64), low_bits)
+        pieces += decode_blocks(payloads[a : a + IN_STEP], blocks["ids"][a : a + IN_STEP].astype(np.int64))
     for piece, crc in zip(pieces, blocks["crc32"].tolist()):
         if zlib.crc32(piece.astype("<u4").tobytes()) != crc:
             raise ValueError("a block of token ids does not match its checksum")
@@ -140,7 +169,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2) -> None
         held = 0
 
         def chunk() -> pa.RecordBatch:
-            packed = pack(keys, ids, words.low_bits)
+            packed = pack(keys, ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([number]), pa.array([held]), pa.array([packed], pa.binary())], ["part", "chunk", "n_ids", "ids"]
             )
@@ -157,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2) -> None
         if keys:
             yield chunk()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, 64))
     (
         ordered.sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, "part long, chunk long, n_ids long, ids binary")

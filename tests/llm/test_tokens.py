@@ -19,6 +19,7 @@ from tallyflow.session import stage_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -117,20 +118,58 @@ def test_coder_round_trip(case):
         "repeating": [np.tile(rng.integers(0, 50_000, 40), 30) for _ in range(5)],
         "uneven": [rng.integers(0, 9, n) for n in (1, 2, 700, 3, 699, 1)],
     }[case]
-    payloads = context_coder.encode_blocks(blocks, 12)
-    decoded = context_coder.decode_blocks(payloads, np.array([len(b) for b in blocks]), 12)
+    payloads = context_coder.encode_blocks(blocks)
+    decoded = context_coder.decode_blocks(payloads, np.array([len(b) for b in blocks]))
     assert all(np.array_equal(a, b) for a, b in zip(blocks, decoded))
     raw = sum(2 * len(b) for b in blocks)
     if case in ("constant", "skewed", "repeating"):
         assert sum(map(len, payloads)) < 0.8 * raw
     # A block can be read alone.
-    alone = context_coder.decode_blocks(payloads[-1:], np.array([len(blocks[-1])]), 12)
+    alone = context_coder.decode_blocks(payloads[-1:], np.array([len(blocks[-1])]))
     assert np.array_equal(alone[0], blocks[-1])
 
 
+def test_ids_beyond_16_bits_and_blocks_that_are_too_long():
+    blocks = [np.array([0, 1 << 31, 254, 255, 256, 511, 70_000, 1 << 31]), np.arange(2048) * 300]
+    payloads = context_coder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, context_coder.decode_blocks(payloads, np.array([8, 2048]))))
+    for bad in (np.zeros(40_000, int), np.zeros(0, int), np.arange(2100)):
+        with pytest.raises(ValueError):
+            context_coder.encode_blocks([bad])
+
+
+def test_a_coder_beats_plain_frequencies_and_zlib(spark):
+    """The ids of documents, in blocks of full size."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    stream = np.concatenate(token_files.tokenizer(WORDS).encode([(t or "").encode() for t in texts], 2)).astype(np.int64)
+    blocks = [stream[a : a + 2048] for a in range(0, len(stream) - 2047, 2048)][:16]
+    size = sum(map(len, context_coder.encode_blocks(blocks)))
+    assert size < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    # Adaptive order 0 with a flat escape, the textbook's plain model.
+    plain = 0.0
+    for b in blocks:
+        seen: dict[int, int] = {}
+        for n, x in enumerate(b.tolist()):
+            d = len(seen)
+            plain -= np.log2(seen[x] / (n + d)) if x in seen else np.log2(max(d, 1) / max(n + d, 1)) - np.log2(49_408)
+            seen[x] = seen.get(x, 0) + 1
+    assert 8 * size < plain
+
+
+def test_only_a_tokenizer_that_ignores_spaces_is_used_word_by_word(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"Two": 0, "two": 1, " ": 2, "x": 3}, unk_token="x"))
+    plain.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    plain.save(f"{tmp_path}/plain.json")
+    words = token_files.Words(f"{tmp_path}/plain.json")
+    assert not words.by_words and words.encode([b"Two two", b""], 9)[0].tolist() == [0, 2, 1, 9]
+    assert token_files.tokenizer(WORDS).by_words
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(1).integers(0, 49_000, 5000).astype("<u4")
-    chunk = token_files.pack([7, None], [ids[:4999], ids[4999:]], 12)
+    chunk = token_files.pack([7, None], [ids[:4999], ids[4999:]])
     documents, back = token_files.unpack(chunk)
     assert documents["doc_id"].tolist() == [7, 0] and np.array_equal(back, ids)
     bad = bytearray(chunk)
