@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import slices, text_bytes
+from tallyflow.session import staged
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -143,21 +144,25 @@ class Scorer:
 def train(docs: DataFrame, usable: Column, per_language: int = 600, windows_per_text: int = 4) -> ByteConvNet:
     """Fits the network on ``usable`` rows of ``docs`` (doc_id, text, lang).
 
-    The sample is bounded: about ``per_language`` rows of each language, chosen
-    by a hash of the key, and ``windows_per_text`` evenly spread windows of each.
+    The sample is bounded: of each language the ``per_language`` different rows with
+    the smallest hashes of key and text, and ``windows_per_text`` evenly spread windows
+    of each. Rows that repeat key and text count once, so neither a repeated key nor
+    a text that a third of all rows have makes it larger or one-sided.
     """
     rows = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    smallest = rows.select("lang", "draw").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language)
+    # One row for each language.
+    cuts = staged(smallest.groupBy("lang").agg(F.max("draw").alias("cut")), "language-cuts")
+    languages = sorted(r["lang"] for r in cuts.select("lang").collect())
     if not languages:
         return ByteConvNet([], np.zeros((256, 1), np.float32), [], *[np.zeros(0, np.float32)] * 3)
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / counts[lang])).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
     kept = windows_per_text
     sample = (
-        rows.filter(drawn)
+        rows.join(cuts, "lang")
+        .filter("draw <= cut")
+        .dropDuplicates(["lang", "draw"])
         .select("lang", "text")
         .mapInArrow(lambda batches: sampled_windows(batches, kept), "lang string, grid binary")
         .toArrow()

@@ -120,3 +120,19 @@ def test_quality_of_odd_texts_and_labels(spark, table, odd_rows):
 def test_sums_and_calibration():
     knots, levels = quality_classifier.isotonic(np.array([2.0, 0, 2, 4]), np.array([1.0, 0, 0, 4]), np.array([0.2, 0, 0.8, 3.6]))
     assert knots.tolist() == [0.25, 0.9] and levels.tolist() == [0.25, 1.0]
+
+
+def test_the_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
+    """A third of the rows has no key, and a third is one row again and again."""
+    rows = [(None if i % 3 == 0 else i, f"some words number {i} of a text" if i % 3 else f"other words {i}", "en") for i in range(600)]
+    rows += [(7, "the same text for ever", "en")] * 300 + [(i, f"kurzer satz nummer {i}", "de") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language_id, "learn", lambda grids, labels, languages: seen.update(labels=labels, grids=grids, languages=languages))
+    language_id.train(docs, F.lit(True), per_language=100, windows_per_text=4)
+    counts = np.bincount(seen["labels"])
+    # These texts fill one window each.
+    assert seen["languages"] == ["de", "en"] and counts.tolist() == [20, 100]
+    texts = [bytes(g).rstrip(b"\x00 ") for g in seen["grids"][seen["labels"] == 1]]
+    without_key = sum(t.startswith(b"other") for t in texts)
+    assert len(set(texts)) == 100 and 15 <= without_key <= 55
