@@ -87,6 +87,18 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules count, and the base verdict, without the part that is estimated."""
+    return quality_rules.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+
+
+def source_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the mix, without what is drawn."""
+    return op10_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -101,6 +113,8 @@ QUERIES = {
     "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
+    "quality_rule_counts": quality_rule_counts,
+    "source_mix_targets": source_mix_targets,
 }
 
 SQL: dict[str, str] = {
@@ -112,6 +126,75 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op4_substring_dedup": """
+        WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+        windows AS (
+            SELECT doc_id, start, row_number() OVER (PARTITION BY passage ORDER BY doc_id, start) AS nth
+            FROM (SELECT doc_id, start, array_to_string(words[start : start + 19], ' ') AS passage
+                  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM t WHERE len(words) >= 20) AS s) AS p),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM windows WHERE nth > 1),
+        placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM t),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body
+            FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id)""",
+    "op5_ngram_jaccard_join": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS words
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(words[start : start + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS start FROM t WHERE len(words) > 0) AS s),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+            FROM shingles AS a JOIN shingles AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes AS a ON x = a.doc_id JOIN sizes AS b ON y = b.doc_id
+            WHERE 100 * common >= 75 * (a.n + b.n - common)),
+        near AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM t
+            UNION SELECT r.doc_id, y FROM reached AS r JOIN near ON other = x)
+        SELECT t.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM t JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY t.doc_id""",
+    "quality_rule_counts": """
+        WITH t AS (SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+        lines AS (
+            SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS found
+            FROM documents),
+        triples AS (
+            SELECT doc_id, start, count(*) OVER (PARTITION BY doc_id, triple) AS times
+            FROM (SELECT doc_id, start, words[start : start + 2] AS triple
+                  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS start FROM t WHERE len(words) >= 3) AS s) AS p),
+        repeats AS (
+            SELECT doc_id, count(DISTINCT place) AS n FROM (
+                SELECT doc_id, unnest(range(start, start + 3)) AS place FROM triples WHERE times > 1) AS c GROUP BY 1),
+        counts AS (
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                   length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(len(found) - len(list_distinct(found)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM t JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts""",
+    "source_mix_targets": """
+        WITH sizes AS (
+            SELECT doc_id, source, coalesce(CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT), 0) AS size FROM documents),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS cap,
+                   1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+            FROM sizes GROUP BY source),
+        levels AS (
+            SELECT cap / weight AS ratio,
+                   (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM sources
+            WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        final AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio > level)
+        SELECT doc_id, size, source_size, round(least(cap, coalesce(level * weight, cap)), 4) AS target
+        FROM sizes JOIN sources ON sizes.source IS NOT DISTINCT FROM sources.source CROSS JOIN final""",
     "op12_lexical_search": """
         WITH words AS (
             SELECT doc_id, unnest(regexp_extract_all(
