@@ -198,7 +198,7 @@ def routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(odd, "file", "left")
 
 
-def report_columns(value: Column, stamp: Column = F.col("o_orderdate")) -> list[Column]:
+def report_columns(value: Column, stamp: Column | None = None) -> list[Column]:
     """An order as a report of the present layout; its key is the place."""
     empty = F.lit(None).cast("string")
     return [
@@ -206,7 +206,7 @@ def report_columns(value: Column, stamp: Column = F.col("o_orderdate")) -> list[
         F.col("o_orderkey").cast("string").alias("Admin2"),
         F.col("o_orderpriority").alias("Province_State"),
         F.col("o_orderstatus").alias("Country_Region"),
-        F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("Last_Update"),
+        F.date_format("o_orderdate" if stamp is None else stamp, "yyyy-MM-dd HH:mm:ss").alias("Last_Update"),
         empty.alias("Lat"),
         empty.alias("Long_"),
         value.cast("int").alias("Confirmed"),
@@ -219,7 +219,8 @@ def report_columns(value: Column, stamp: Column = F.col("o_orderdate")) -> list[
     ]
 
 
-PRICE = F.floor("o_totalprice")
+def price() -> Column:
+    return F.floor("o_totalprice")
 
 
 def latest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +228,9 @@ def latest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = stage_path(spark, "revised-reports")
     orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    later = F.when(key % 3 == 0, PRICE + 1).otherwise(PRICE)
+    later = F.when(key % 3 == 0, price() + 1).otherwise(price())
     for name, rows in {
-        "12-29-2001": orders.select(*report_columns(PRICE)),
+        "12-29-2001": orders.select(*report_columns(price())),
         "2001-12-30": orders.filter(key % 3 < 2).select(*report_columns(later)),
         "12-31-2001": orders.filter(key % 5 == 0).select(*report_columns(later * 2))
         # Repeated in the newest file, but older than the row beside it.
@@ -254,11 +255,11 @@ def incremental_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         return refresh_totals(spark, f"{folder}/*.csv", store, lambda files: readers.read_report_files(spark, files)).totals
 
     for day in range(3):
-        write(f"12-0{day + 1}-2001", orders.filter(part == day), PRICE)
+        write(f"12-0{day + 1}-2001", orders.filter(part == day), price())
     refresh()
-    write("12-02-2001", orders.filter((part == 1) & (F.col("o_orderkey") % 3 > 0)), PRICE * 2)
-    write("12-03-2001", orders.filter("false"), PRICE)
-    write("12-04-2001", orders.filter(part == 3), PRICE)
+    write("12-02-2001", orders.filter((part == 1) & (F.col("o_orderkey") % 3 > 0)), price() * 2)
+    write("12-03-2001", orders.filter("false"), price())
+    write("12-04-2001", orders.filter(part == 3), price())
     totals = refresh()
     return totals.withColumn("date", day_text(F.col("date")))
 

@@ -44,3 +44,13 @@ def test_results_do_not_depend_on_the_session_zone(spark, connection, conf, name
 def test_entry(spark):
     result = entry_module.entry(spark)
     assert result.columns[-1] == "flight_count" and result.count() > 0
+
+
+def test_queries_are_listed_without_a_session():
+    """Another process reads the names before any session is there."""
+    import subprocess
+    import sys
+
+    root = Path(entry_module.__file__).parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 70)"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.strip() == "True", said.stderr[-500:]
