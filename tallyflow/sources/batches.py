@@ -42,6 +42,8 @@ def report_day(file: Column) -> Column:
 
     The last such name of a path counts, so a folder written in place of a file will do.
     """
-    parts = [F.regexp_extract(file, r".*/(\d{2})-(\d{2})-(\d{4})[.]csv", i) for i in (3, 1, 2)]
-    iso = F.regexp_extract(file, r".*/(\d{4}-\d{2}-\d{2})[.]csv", 1)
-    return F.when(iso != "", iso).otherwise(F.concat_ws("-", *parts)).try_cast("date")
+    # Tied to the start: a path without such a name is gone through once, not again from each of its letters.
+    american = F.regexp_extract(file, r"^.*/(\d{2}-\d{2}-\d{4})[.]csv", 1)
+    iso = F.regexp_extract(file, r"^.*/(\d{4}-\d{2}-\d{2})[.]csv", 1)
+    swapped = F.regexp_replace(american, r"^(\d{2}-\d{2})-(\d{4})$", "$2-$1")
+    return F.coalesce(F.nullif(iso, F.lit("")), swapped).try_cast("date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import os
 import re
 import time
@@ -126,6 +127,16 @@ def test_order_of_versions_is_that_of_days_in_file_names(spark):
     assert [r[0] for r in found.collect()] == [dt.date(2021, 1, 2), dt.date(2020, 12, 31), dt.date(2020, 12, 1), None, None]
 
 
+def test_a_long_path_is_gone_through_once(spark):
+    """Each letter of a path without the name looked for must not start another search."""
+    long = "a" * 60_000
+    names = [f"{long}{i}/01-02-2021.csv" for i in range(10)] + [f"{long}{i}.csv" for i in range(10)]
+    found = spark.createDataFrame([(n,) for n in names], "file string").select(report_day(F.col("file")))
+    start = time.perf_counter()
+    assert [r[0] for r in found.collect()] == [dt.date(2021, 1, 2)] * 10 + [None] * 10
+    assert time.perf_counter() - start < 10
+
+
 def test_a_hot_area_is_spread_by_place(spark):
     """Rows of one area are grouped by place and day before they meet."""
     from tallyflow.operators.rollups import latest_reports
