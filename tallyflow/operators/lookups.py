@@ -67,7 +67,9 @@ def attach(
     join as well: each fact goes to one of that many partitions of its key,
     each dimension row to all of them. The salt is a hash of the whole fact,
     so a task that is run again sends its rows to the same places; equal facts
-    are expected to be counted together before (:func:`pair_counts`).
+    are expected to be counted together before (:func:`pair_counts`). A salted
+    join always sorts and merges: Spark measures the dimension before it is
+    repeated, and would broadcast all its copies to every executor.
     """
     right = dimension.select(
         named(dimension_key).alias("_lookup_key"),
@@ -81,7 +83,8 @@ def attach(
     right = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     )
-    return salted.join(right, on & (F.col("_fact_salt") == F.col("_salt")), "left").drop(
+    both = on & (F.col("_fact_salt") == F.col("_salt"))
+    return salted.join(right.hint("merge"), both, "left").drop(
         "_lookup_key", "_salt", "_fact_salt"
     )
 

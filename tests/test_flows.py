@@ -195,6 +195,15 @@ def test_attach_keeps_every_fact_and_salts_by_content(spark):
         assert rows(got) == expected
 
 
+def test_a_salted_lookup_broadcasts_no_copies(spark):
+    facts = spark.range(1000).selectExpr("id % 10 AS k", "id AS v")
+    dimension = spark.range(10).selectExpr("id", "'x' AS name")
+    got = attach(facts, "k", dimension, "id", {"name": "label"}, 8)
+    assert got.filter("label = 'x'").count() == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_unmatched_names(spark):
     cases = spark.createDataFrame([("US",), ("Atlantis",), ("Atlantis",), (None,)], "n string")
     known = spark.createDataFrame([("US",), ("FR",)], "c string")
