@@ -340,6 +340,8 @@ def batch_files(spark: SparkSession, sf_dir: str, defects: bool = False) -> Batc
         )
         .write.option("header", True)
         .option("compression", "gzip")
+        # Packing harder takes longer than the join; the files are read once.
+        .option("zlib.compress.level", "BEST_SPEED")
         .csv(f"{inputs.flows}/flightlist_19950101_20011231.csv.gz")
     )
     write_csv(

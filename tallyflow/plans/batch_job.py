@@ -21,7 +21,7 @@ from tallyflow.operators.filters import (
 from tallyflow.operators.lookups import place_table
 from tallyflow.operators.reshape import union_by_name
 from tallyflow.operators.rollups import area_day_totals, area_months
-from tallyflow.plans.flows import COMPLETE, count_flows, flow_order, map_flows, month_totals
+from tallyflow.plans.flows import COMPLETE, count_flows, flow_order, map_flows, month_totals, spread_rows
 from tallyflow.plans.incremental import refresh_totals
 from tallyflow.plans.quality_report import flow_report, snapshot_report, unmatched_names
 from tallyflow.plans.snapshots import days_from_totals
@@ -163,8 +163,7 @@ def _run_batch(
 
     facilities = readers.read_facilities(spark, inputs.facilities)
     codes = readers.read_codes(spark, inputs.codes)
-    # A gzip file is one task; its rows are spread before the lookups.
-    flows = readers.read_flows(spark, inputs.flows, period).hint("rebalance")
+    flows = spread_rows(readers.read_flows(spark, inputs.flows, period))
     mapped = map_flows(flows, place_table(facilities, codes), keep_incomplete=True)
     flow_totals = staged(month_totals(mapped), "flows", stages)
     counts = count_flows(

@@ -18,6 +18,15 @@ WEIGHT = "flights"
 COMPLETE = ("day", "origin_country", "destination_country")
 
 
+def spread_rows(flows: DataFrame) -> DataFrame:
+    """Raw flows dealt over the cluster before the lookups, as a gzip file is one task.
+
+    Days travel as dates, a fifth of their text. Rows are dealt by their values: in turn
+    would need a sort of each file first, so that a task run again deals them alike.
+    """
+    return flows.withColumn("day", utc_day(flows, "day")).hint("rebalance", "day", *DIRECTIONS)
+
+
 def pair_counts(flows: DataFrame) -> DataFrame:
     """Flows per day and pair of facilities.
 

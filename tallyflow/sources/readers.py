@@ -79,10 +79,13 @@ def read_report_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 def with_second_layout(rows: DataFrame, schema: str) -> DataFrame:
     """Rows of :func:`read_with_rejects`, rejected lines read again under ``schema``.
 
-    ``_layout`` tells the number of fields a row was read with, 0 if rejected.
+    ``_layout`` tells the number of fields a row was read with, 0 if rejected. Lines
+    with too few commas for ``schema`` are not read again, as parsing those that fail is dear.
     """
     again, bad = "_again", "_bad_again"
     shorter = T.StructType.fromDDL(schema)
+    line = named(REJECTED)
+    enough = F.length(line) - F.length(F.replace(line, F.lit(","))) >= len(shorter) - 1
     options = {
         "mode": "PERMISSIVE",
         "timeZone": "UTC",
@@ -90,10 +93,10 @@ def with_second_layout(rows: DataFrame, schema: str) -> DataFrame:
         "columnNameOfCorruptRecord": bad,
     }
     parsed = F.from_csv(named(REJECTED), f"{schema}, {bad} STRING", options)
-    rows = rows.withColumn(again, F.when(named(REJECTED).isNotNull(), parsed))
+    rows = rows.withColumn(again, F.when(enough, parsed))
     columns = [c for c in rows.columns if c not in (REJECTED, SOURCE, again)]
     # A line may be NULL as a whole where a value of an unread column is bad.
-    second = named(REJECTED).isNotNull() & F.col(again)[bad].isNull()
+    second = F.coalesce(enough, F.lit(False)) & F.col(again)[bad].isNull()
     return rows.select(
         *[
             F.when(second, F.col(again)[c] if c in shorter.names else F.lit(None))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tallyflow.plans.flows import (
     flow_order,
     map_flows,
     pair_counts,
+    spread_rows,
 )
 from tallyflow.operators.quality import null_profile
 from tallyflow.plans.quality_report import unmatched_names
@@ -204,6 +207,14 @@ def test_a_salted_lookup_broadcasts_no_copies(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_flows_are_spread_as_dates_without_a_sort(spark):
+    raw = [("2021-01-02 00:00:00+00:00", "A", "B"), ("2021-01-02 00:00:00+00:00", "A", "B"), ("x", None, "B"), (None, None, None)]
+    got = spread_rows(spark.createDataFrame(raw, "day string, origin string, destination string"))
+    assert dict(got.dtypes)["day"] == "date"
+    assert "RoundRobin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == sorted([(dt.date(2021, 1, 2), "A", "B")] * 2 + [(None, None, "B"), (None, None, None)], key=lambda r: tuple(map(str, r)))
+
+
 def test_unmatched_names(spark):
     cases = spark.createDataFrame([("US",), ("Atlantis",), ("Atlantis",), (None,)], "n string")
     known = spark.createDataFrame([("US",), ("FR",)], "c string")

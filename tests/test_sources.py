@@ -6,6 +6,7 @@ import fnmatch
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow import schemas
 from tallyflow.functions.calendar import utc_day
@@ -70,6 +71,19 @@ def test_rejects_are_counted_in_the_same_scan(spark, write, tmp_path):
     assert rows(area_day_table(with_rejects)) == rows(plain)
 
 
+def test_only_lines_with_enough_commas_are_read_again(spark, write, tmp_path):
+    names = [f.name for f in T.StructType.fromDDL(schemas.DAILY_REPORT)]
+    twelve = ',,,US,2021-01-02 00:00:00,,,1,2,3,4,"a, b"'
+    quoted = '"a,b,c,d,e,f,g,h,i,j,k,l,m",US'
+    write("01-02-2021.csv", ",".join(names), twelve + ",,", twelve, twelve + ",", "x,y", quoted, "x", ",,,US,2021-01-02 00:00:00,,,1,2,3,4")
+    found = readers.read_reports(spark, str(tmp_path), rejects=True)
+    kept = found.filter("_layout > 0").select("_layout", "Combined_Key", "Confirmed")
+    assert rows(kept) == [(12, "a, b", 1), (14, "a, b", 1)]
+    assert [r["_layout"] for r in found.collect() if r["_rejected_line"] is not None] == [0] * 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN ((length(_rejected_line" in plan
+
+
 def test_scan_profile_and_kept_rows(spark, write):
     path = write("a.csv", "k,v", "1,x", "2,", "bad,y", "3")
     scanned = readers.read_with_rejects(spark, path, "k LONG, v STRING")
