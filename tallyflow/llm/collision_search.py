@@ -107,8 +107,8 @@ class Block:
         scores: list[list[np.ndarray]] = [[] for _ in range(q)]
         best = [np.sort(s) for s in known]
         far = self._distance(known.min(axis=1), norms)
-        # A query with k neighbours from earlier blocks begins halfway to the farthest of them.
-        radius = np.maximum(FIRST_RADIUS * self.length, np.where(np.isfinite(far), far / 2, 0))
+        # A query with k neighbours from earlier blocks begins at the farthest of them, where it ends too.
+        radius = np.maximum(FIRST_RADIUS * self.length, np.where(np.isfinite(far), far, 0))
         active = np.flatnonzero(left > 0)
         while len(active):
             half = WIDTH * radius[active] / 2

@@ -158,6 +158,22 @@ def test_nearest_among_many(spark):
     assert np.mean([len(set(b) & set(p)) / 20 for b, (p, _) in zip(best, found)]) >= 0.9
 
 
+def test_a_later_block_is_searched_in_one_step(monkeypatch):
+    """Windows as wide as the k-th neighbour known end a search, so there is no need of narrower ones."""
+    x = np.random.default_rng(3).normal(size=(3000, 32))
+    asked, none = x[:40], np.full(40, -1)
+    first = collision_search.Block(x[1000:2000]).search(asked, none, 20, np.arange(1000))
+    known = np.array([score for _, score in first])
+    later, steps, count = collision_search.Block(x[2000:]), [], collision_search.Block._count
+    monkeypatch.setattr(collision_search.Block, "_count", lambda *a: (steps.append(1), count(*a)))
+    found = later.search(asked, none, 20, np.arange(1000), known)
+    assert len(steps) <= len(asked)
+    scores = asked @ x[2000:].T
+    least = np.sort(np.hstack([known, scores]), axis=1)[:, -20]
+    nearer = [set(np.flatnonzero(s >= m - 1e-9)) for s, m in zip(scores, least)]
+    assert sum(len(n & set(p)) for n, (p, _) in zip(nearer, found)) >= 0.9 * sum(map(len, nearer))
+
+
 def test_one_vector_repeated(written):
     """Of many equal vectors the smallest keys are returned."""
     rows = [(i, [1.0, 2.0, 2.0], 0) for i in range(300)] + [(1000, [0.0, 1.0, 0.0], 1)]
