@@ -178,3 +178,59 @@ def test_damage_is_found():
         token_files.unpack(bytes(bad))
     with pytest.raises(ValueError):
         token_files.unpack(b"XXXX" + chunk[4:])
+
+
+def test_an_id_takes_one_step_of_the_range_coder(monkeypatch):
+    steps = []
+    for side in (context_coder.Encoder, context_coder.Decoder):
+        narrow = side.narrow
+        monkeypatch.setattr(side, "narrow", lambda self, add, rng, narrow=narrow: (steps.append(len(add)), narrow(self, add, rng)))
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, 3000, n) for n in (400, 90, 400)]
+    payloads = context_coder.encode_blocks(blocks)
+    assert sum(steps) == 890
+    context_coder.decode_blocks(payloads, np.array([400, 90, 400]))
+    assert sum(steps) == 2 * 890
+
+
+def test_the_longest_blocks_with_the_most_ids():
+    rng = np.random.default_rng(6)
+    n, most = context_coder.LONGEST, context_coder.MOST_IDS
+    even = np.concatenate([rng.permutation(most), rng.integers(0, most, n - most)])
+    skewed = np.concatenate([np.arange(most), np.minimum(rng.geometric(0.3, n - most), most - 1)])
+    sure = np.concatenate([np.arange(most), np.zeros(n - 2 * most, int), rng.permutation(most)])
+    payloads = context_coder.encode_blocks([even, skewed, sure])
+    for a, b in zip([even, skewed, sure], context_coder.decode_blocks(payloads, np.full(3, n))):
+        assert np.array_equal(a, b)
+
+
+def test_carries_reach_earlier_digits():
+    coder = context_coder.Encoder(2, 8)
+    coder.out[1:4] = (5, context_coder.DIGIT - 1, context_coder.DIGIT)
+    coder.at += 3
+    assert coder.finish()[0] == bytes([6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+
+
+def test_words_with_marks_are_encoded_once(monkeypatch):
+    words = token_files.Words(WORDS)
+    encoded = []
+    monkeypatch.setattr(words, "keep", lambda by, new, keep=words.keep: (encoded.extend(new), keep(by, new)))
+    text = "Thingly thingly, thingly%%% (thingly).  thingly\u00e9 thingly,%%% x|y |"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode([text.encode(), b""], 2)[0].tolist() == [*want, 2]
+    assert encoded.count("thingly") == 1 and not {"thingly,", "thingly%%%", "thingly,%%%"} & {*encoded}
+    # What the generation before knows is not encoded again.
+    monkeypatch.setattr(token_files, "REMEMBERED", 0)
+    n = len(encoded)
+    assert words.encode([text.encode()], 2)[0].tolist() == [*want, 2] and len(encoded) == n
+
+
+ODD = st.sampled_from(" %$,.'\"(~|<>@_-aZz9\u00e9\u00c9\u00df\u00ff\u00aa\u00b5\u00d7\u00f7\u0301\u0130\u00a0\x85\x1c")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=ODD, max_size=25), max_size=4))
+def test_marks_and_accents_have_the_ids_of_the_whole_text(texts):
+    words = token_files.tokenizer(WORDS)
+    found = words.encode([t.encode() for t in texts], 2) if texts else []
+    assert [f.tolist() for f in found] == [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
